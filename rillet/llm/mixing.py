@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, partitions, stage
 
 BLOCK_DOCS = 256
 SHARDS = 16
@@ -170,6 +170,6 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     once = rows.groupBy("__id", F.col("__h").alias("__g")).agg(F.max("__slots").alias("__slots"))
     tagged = docs.withColumns({"__h": F.xxhash64(F.lit(SEED), F.col(key), F.coalesce(F.col(text), F.lit(""))), "__k": F.col(key)})
     taken = tagged.join(once, F.col("__k").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g"))).withColumn("__slot", F.explode("__slots"))
-    dealt = taken.repartition(F.col("__slot.shard"), F.pmod("__h", F.lit(16))).sortWithinPartitions(F.col("__slot.shard"), F.xxhash64(F.col("__h"), F.col("__slot.pass")))
+    dealt = taken.repartition(partitions(docs.sparkSession), F.col("__slot.shard"), F.pmod("__h", F.lit(partitions(docs.sparkSession)))).sortWithinPartitions(F.col("__slot.shard"), F.xxhash64(F.col("__h"), F.col("__slot.pass")))
     out = [F.col(f"`{c}`") for c in docs.columns]
     return dealt.select(*out, *([F.col("__slot.shard").alias("shard"), F.col("__slot.pass").alias("pass")] if place else []))
