@@ -127,10 +127,10 @@ def line(name: str, sql: str, value) -> None:
     record(name, "lineitem", f"SELECT {L}, {sql} AS v FROM lineitem", l_orderkey=lambda: col("l_orderkey"), l_linenumber=lambda: col("l_linenumber"), v=value)
 
 
-line("arith_add", "round(l_extendedprice + l_tax, 6)", lambda: F.round(numbers.add(col("l_extendedprice"), col("l_tax")), 6))
-line("arith_sub", "round(l_extendedprice - l_discount, 6)", lambda: F.round(col("l_extendedprice") - col("l_discount"), 6))
-line("arith_mul", "round(l_extendedprice * (1 - l_discount), 4)", lambda: F.round(col("l_extendedprice") * (1 - col("l_discount")), 4))
-line("arith_div", "round(l_extendedprice / l_quantity, 6)", lambda: F.round(numbers.divide(col("l_extendedprice"), col("l_quantity")), 6))
+line("arith_add", "l_extendedprice + l_tax", lambda: numbers.add(col("l_extendedprice"), col("l_tax")))
+line("arith_sub", "l_extendedprice - l_discount", lambda: col("l_extendedprice") - col("l_discount"))
+line("arith_mul", "l_extendedprice * (1 - l_discount)", lambda: col("l_extendedprice") * (1 - col("l_discount")))
+line("arith_div", "l_extendedprice / l_quantity", lambda: numbers.divide(col("l_extendedprice"), col("l_quantity")))
 line("arith_mod", "CAST(trunc(l_extendedprice) AS BIGINT) % CAST(7 AS BIGINT)", lambda: numbers.modulo(col("l_extendedprice"), F.lit(7)))
 line("arith_neg", "-l_quantity", lambda: numbers.negate(col("l_quantity")))
 line("add_wraps", "CASE WHEN l_orderkey = 0 THEN 9223372036854775807 ELSE CAST(CAST(l_orderkey AS HUGEINT) - 9223372036854775808 - 1 AS BIGINT) END", lambda: numbers.add_long(col("l_orderkey"), F.lit(2**63 - 1)))
