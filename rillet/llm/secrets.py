@@ -6,7 +6,8 @@ interval of code points; within a scope of SCOPE code points to either side they
 parts, and a weak candidate is reported only if one stands there: a key needs an identifier or an endpoint, an
 identifier a key, an endpoint both an identifier and a key. The interval join is one sweep over a document's
 intervals in order and one back, each step with the nearest part of each role, so it takes time in proportion to
-the candidates, and neither pairs nor a shuffle arise.
+the candidates, and neither pairs nor a shuffle arise. A weak candidate that lies wholly within a base span is left out;
+one that only overlaps a base span is reported beside it.
 
 Defined results: null text counts as empty and has no spans; rows are kept as they are, repeated or with a null
 identifier; an empty table gives an empty result; other columns are left out by `scan`, kept by `with_spans`.
@@ -93,7 +94,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     found = found.withColumn("__parts", order(F.concat("__base", "__weak")))
     weak = F.when(F.size("__weak") > 0, _linked(F.col("__parts"))).otherwise(F.array().cast(f"array<{SPAN}>"))
     # a weak span that a base span covers says nothing new
-    fresh = F.filter(weak, lambda w: ~F.exists(F.col("__base"), lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
+    fresh = F.filter(weak, lambda w: ~F.exists(F.col("__base"), lambda b: (b["s"] <= w["s"]) & (w["e"] <= b["e"])))
     return found.withColumn("__spans", order(F.concat("__base", fresh)))
 
 
