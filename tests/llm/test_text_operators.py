@@ -262,4 +262,4 @@ def test_lookup_with_a_hot_key(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
     facts = common.stage(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("lo")), "test")
     got = common.lookup(rows, facts, ["k"], "n", 3000)
-    assert got.count() == 3000 and got.where("k = 7 and lo = 0 and n = 1500").count() == 1500 + 0 * 7
+    assert got.count() == 3000 and got.where("k = 7 and lo = 0 and n = 1501").count() == 1501  # the even rows and row 7
