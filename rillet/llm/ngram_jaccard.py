@@ -161,7 +161,9 @@ def _verify(batches):
         nodes, links, roots = [], [], []
         for parts in batch.column("parts").to_pylist():
             parts.sort(key=lambda p: p["pos"])
-            i, j = np.frombuffer(parts[0]["pairs"], np.uint16).reshape(2, -1).astype(np.int64)
+            i, j = np.frombuffer(parts[0]["pairs"] or b"", np.uint16).reshape(2, -1).astype(np.int64)
+            if not len(i) or [p["pos"] for p in parts] != list(range(max(i.max(), j.max()) + 1)) or any(p["set"] is None for p in parts):
+                raise ValueError("a block lacks a part or a shingle set")
             sets = [np.frombuffer(p["set"], np.uint64) for p in parts]
             size = np.array([len(s) for s in sets])
             inter = intersections(sets, i, j)
@@ -218,9 +220,11 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     several = several.groupBy("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")).agg(F.min("band").alias("band"), F.collect_list(F.struct("chunk", "members")).alias("chunks"))
     blocks = stage(alone.unionByName(several).mapInArrow(_candidates, "key long, lo int, hi int, parts array<struct<pos:int,node:bigint,copies:bigint,pairs:binary>>"), "jaccard-blocks")
     parts = blocks.select("key", "lo", "hi", F.inline("parts"))
-    wanted = parts.select("node").distinct().join(reps.select("node", "name.id", "name.tx"), "node")
-    sets = stage(base.join(wanted, ["id", "tx"]).select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(shingle), "node long, set binary"), "jaccard-sets")
-    whole = parts.join(sets, "node").groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("pos", "node", "copies", "pairs", "set")).alias("parts"))
+    # the name as one struct is never null, so null identifiers meet too; a hot name is read without a shuffle of its rows
+    wanted = stage(parts.select("node").distinct().join(reps.select("node", "copies", "name"), "node"), "jaccard-wanted")
+    texts = lookup(base.select(name.alias("name"), "text"), wanted, ["name"], "copies", index.count()).where("node is not null")
+    sets = stage(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(shingle), "node long, set binary"), "jaccard-sets")
+    whole = parts.join(sets, "node", "left").groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("pos", "node", "copies", "pairs", "set")).alias("parts"))
     found = stage(whole.select("parts").mapInArrow(_verify, "node long, links long, root long"), "jaccard-links")
     labels = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -232,7 +236,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     out = lookup(light.where("n > 0").drop("n"), facts2, ["node"], "copies", index.count())
     void = light.where("n = 0").select("id", "tx", name.alias("first"), F.lit(1).cast("long").alias("group_size"), F.lit(0).cast("long").alias("n_links"))
     done = stage(out.select("id", "tx", "first", "group_size", "n_links").unionByName(void), "jaccard-done")
-    drop(index, reps, buckets, blocks, sets, found, facts, firsts, facts2)
+    drop(index, reps, buckets, blocks, wanted, sets, found, facts, firsts, facts2)
     return done
 
 

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +222,29 @@ def test_jaccard_over_several_chunks(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(brute_links(rows), key=str)
 
 
+@pytest.mark.parametrize("hot_share", [1000, 2])
+def test_jaccard_of_near_copies_without_identifier(spark, monkeypatch, hot_share):
+    monkeypatch.setattr(common, "HOT_SHARE", hot_share)  # names by broadcast, and by the shuffle join
+    texts = [[f"{g}w{i}" for i in range(60)] for g in "abc"]
+    change = lambda ws, at: " ".join([*ws[:at], "changed", *ws[at + 1 :]])
+    rows = [(None, change(ws, at)) for ws in texts for at in (0, 1, 2, 58, 59)] + [(5, " ".join(texts[0])), (3, " ".join(texts[2]))]
+    rows = [(*r, *[None] * 10) for r in [*rows, *rows[:3], (None, None), (None, "alone")]]
+    got = [tuple(r) for r in ngram_jaccard.classes(frame(spark, rows)).collect()]
+    assert max(r[3] for r in got) >= 4
+    assert sorted(got, key=str) == sorted(brute_links(rows), key=str)
+    assert ngram_jaccard.representatives(frame(spark, rows)).count() == 5  # three groups, the text alone and the null
+
+
+def test_blocks_with_a_part_missing_are_refused():
+    pairs = np.array([[0], [1]], np.uint16).tobytes()
+    part = lambda pos, **k: {"pos": pos, "node": pos, "copies": 1, "pairs": None if pos else pairs, "set": np.arange(9, dtype=np.uint64).tobytes()} | k
+    run = lambda parts: list(ngram_jaccard._verify([pa.RecordBatch.from_pylist([{"parts": parts}])]))
+    assert run([part(1), part(0)])[0].column("links").to_pylist() == [1, 1]
+    for parts in ([part(0)], [part(1)], [part(0), part(1, set=None)], [part(0), part(2)]):
+        with pytest.raises(ValueError, match="lacks"):
+            run(parts)
+
+
 def test_pruning_table():
     least = ngram_jaccard.least_matches(0.8, 1e-6)
     assert sorted(least) == [32, 64, 96, 128] and all(0 < m < 0.8 * n for n, m in least.items())
