@@ -23,7 +23,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 WEAK_ID = r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|AGPA|ANPA)[A-Z0-9]{12,}"
-WEAK_KEY = r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,80}[0-9])(?=[A-Za-z0-9+/]{0,80}[A-Z])(?=[A-Za-z0-9+/]{0,80}[a-z])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=])"
+#: Of any length, with a digit, a capital and a small letter anywhere; the possessive runs take time in proportion to it.
+WEAK_KEY = r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=])"
 WEAK_ENDPOINT = r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}"
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 BASE = 3
@@ -52,17 +53,18 @@ def _spans(text: Column, pattern: str, kind: int, smallest_group: int = 0) -> Co
 
 
 def _sweep(parts: Column, back: bool) -> Column:
-    """For each interval in order, the nearest identifier, key and endpoint that came before (or, back, that comes after)."""
+    """For each interval in order, the furthest end of an identifier, key and endpoint that came before (or, back, the nearest start of those that come after)."""
     far = F.lit(None).cast("int")
     role = lambda x: F.when(x["k"].isin(1, 3), 1).when(x["k"].isin(0, 2, 4), 2).when(x["k"] == 5, 3)
-    edge = "s" if back else "e"
+    # in order of start, so going back the last start is the nearest; an end need not be the furthest
+    edge = lambda acc, x: x["s"] if back else F.greatest(acc, x["e"])
     return F.aggregate(
         F.reverse(parts) if back else parts,
         F.struct(far.alias("i"), far.alias("c"), far.alias("p"), F.array().cast(f"array<struct<x:{SPAN},i:int,c:int,p:int>>").alias("out")),
         lambda acc, x: F.struct(
-            F.when(role(x) == 1, x[edge]).otherwise(acc["i"]).alias("i"),
-            F.when(role(x) == 2, x[edge]).otherwise(acc["c"]).alias("c"),
-            F.when(role(x) == 3, x[edge]).otherwise(acc["p"]).alias("p"),
+            F.when(role(x) == 1, edge(acc["i"], x)).otherwise(acc["i"]).alias("i"),
+            F.when(role(x) == 2, edge(acc["c"], x)).otherwise(acc["c"]).alias("c"),
+            F.when(role(x) == 3, edge(acc["p"], x)).otherwise(acc["p"]).alias("p"),
             F.concat(acc["out"], F.array(F.struct(x.alias("x"), acc["i"].alias("i"), acc["c"].alias("c"), acc["p"].alias("p")))).alias("out"),
         ),
     )["out"]
