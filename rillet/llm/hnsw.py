@@ -208,9 +208,9 @@ def index(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", sh
     return rows.withColumn("shard", F.concat_ws("-", "dim", F.pmod(F.xxhash64("id"), F.lit(n)))).groupBy("shard").applyInArrow(_pack, INDEX)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", ef: int = EF) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", ef: int = EF, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of queries."""
-    graphs = stage(index(vectors, vector, key), "hnsw-index")
+    graphs = stage(index(vectors, vector, key, shard), "hnsw-index")
     asked = usable(queries, vector, key).dropDuplicates(["id"])
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = asked.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))

@@ -199,3 +199,20 @@ def test_nearest(spark, monkeypatch):
     assert [i for _, i, _ in sorted(got[150])] == [100, 101, 102, 103, 104]  # ties go to smaller identifiers
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
     assert hnsw.nearest(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
+
+
+def test_recall_over_several_shards(spark):
+    x, rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard string, dim int").repartition(4)
+    assert hnsw.index(df.where("vec_id < 3000"), shard=512).count() >= 6
+    got = {}
+    for r in hnsw.nearest(df, df.where("vec_id % 50 = 0 and vec_id < 3000"), shard=512).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 3000, 50):
+        sims = unit @ unit[q]
+        sims[q] = -9
+        assert [m[0] for m in sorted(got[q])] == [1, 2, 3, 4, 5]
+        hit += sum(s >= np.sort(sims)[-5] - 1e-12 for _, _, s in got[q])
+    assert hit / 300 >= 0.95
