@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -98,3 +100,137 @@ def sliding_argmin(x: np.ndarray, k: int) -> np.ndarray:
         at = least(at[: len(at) - span], at[span:])
         span *= 2
     return least(at[:n], at[k - span : k - span + n])
+
+
+class Growing:
+    """A numpy array that grows at its end, in amortised time."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1024, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        n = self.n + len(x)
+        if n > len(self.data):
+            bigger = np.zeros(max(n, 2 * len(self.data)), self.data.dtype)
+            bigger[: self.n] = self.data[: self.n]
+            self.data = bigger
+        self.data[self.n : n] = x
+        self.n = n
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then those of starts[1] and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+def code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """All texts as one, its code points, and where each text begins (n + 1)."""
+    joined = "".join(texts)
+    return joined, np.frombuffer(joined.encode("utf-32-le"), np.uint32), np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64)).astype(np.int64)
+
+
+class Known:
+    """Pieces of text that were met before, numbered from 0: found by hash, then compared in full.
+
+    The caller keeps what it knows about each piece under its number. When there are more than `most` pieces, those met
+    only once since the last time go, the others are numbered anew (`forget` says how)."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._reset(np.zeros(0, np.uint64), Growing(np.uint32), np.zeros(0, np.int64))
+
+    def _reset(self, hashes: np.ndarray, codes: Growing, lengths: np.ndarray) -> None:
+        self.hashes, self.codes = Growing(np.uint64), codes
+        self.start, self.length, self.again = Growing(np.int64), Growing(np.int64), Growing(bool)
+        self.slots = np.full(1 << 16, -1, np.int64)
+        self._enter(hashes, lengths)
+
+    def _enter(self, hashes: np.ndarray, lengths: np.ndarray) -> None:
+        first = self.hashes.n
+        at = self.start.now[-1] + self.length.now[-1] if self.start.n else 0
+        self.start.add(at + np.cumsum(lengths) - lengths)
+        self.length.add(lengths)
+        self.hashes.add(hashes)
+        self.again.add(np.zeros(len(hashes), bool))
+        if 3 * self.hashes.n > len(self.slots):
+            self.slots = np.full(1 << (4 * self.hashes.n).bit_length(), -1, np.int64)
+            first = 0
+        new = np.arange(first, self.hashes.n)
+        slot = (self.hashes.now[first:] & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        while len(new):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = new[free]
+            left = self.slots[slot] != new
+            new, slot = new[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def _look(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the piece of each hash, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        open_, slot = np.arange(len(hashes)), (hashes & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        while len(open_):
+            got = self.slots[slot]
+            hit = (got >= 0) & (self.hashes.now[np.maximum(got, 0)] == hashes[open_]) if self.hashes.n else np.zeros(len(open_), bool)
+            out[open_[hit]] = got[hit]
+            on = (got >= 0) & ~hit
+            open_, slot = open_[on], (slot[on] + 1) & (len(self.slots) - 1)
+        return out
+
+    def find(self, joined: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn, forget) -> np.ndarray:
+        """The numbers of the pieces codes[starts:ends].
+
+        learn(list of new pieces) is called with pieces that get the next numbers; forget(numbers that stay) before that."""
+        lengths = ends - starts
+        power, inverse = powers(BYTES, len(codes) + 1)
+        sums = _sums((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)])
+        hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64) * np.uint64(SECOND))
+        number = self._look(hashes)
+        if self.hashes.n and self.hashes.n + np.count_nonzero(number < 0) > self.most:
+            stay = np.flatnonzero(self.again.now)
+            stay = stay if 2 * len(stay) <= self.most else stay[:0]
+            kept, old = Growing(np.uint32), self.codes.now
+            kept.add(old[spread(self.start.now[stay], self.length.now[stay])])
+            forget(stay)
+            self._reset(self.hashes.now[stay], kept, self.length.now[stay])
+            number = self._look(hashes)
+        self.again.now[number[number >= 0]] = True
+        out, open_, level = np.empty(len(starts), np.int64), np.arange(len(starts)), 0
+        while len(open_):  # a second time only if two pieces have one hash: then the later one gets another
+            missed = np.flatnonzero(number < 0)
+            if len(missed):
+                _, first = np.unique(hashes[missed], return_index=True)
+                new = missed[np.sort(first)]
+                a, n = starts[open_[new]], lengths[open_[new]]
+                self.codes.add(codes[spread(a, n)])
+                learn([joined[x : x + y] for x, y in zip(a.tolist(), n.tolist())])
+                self._enter(hashes[new], n)
+                number[missed] = self._look(hashes[missed])
+            own = lengths[open_]
+            good = self.length.now[number] == own
+            own = np.where(good, own, 0)
+            equal = self.codes.now[spread(self.start.now[number], own)] == codes[spread(starts[open_], own)]
+            if not equal.all():
+                good[np.repeat(np.arange(len(number)), own)[~equal]] = False
+            out[open_[good]] = number[good]
+            open_, level = open_[~good], level + 1
+            if len(open_):
+                other = [hashlib.blake2b(joined[a:b].encode(), digest_size=8, salt=level.to_bytes(8)).digest() for a, b in zip(starts[open_].tolist(), ends[open_].tolist())]
+                hashes = np.frombuffer(b"".join(other), np.uint64)
+                number = self._look(hashes)
+        return out
+
+
+def groups_of(lengths: list[int], most: int = 1 << 20):
+    """Ranges of texts of at most `most` characters together, or of one text."""
+    at, held = 0, 0
+    for i, n in enumerate(lengths):
+        if i > at and held + n > most:
+            yield at, i
+            at, held = i, 0
+        held += n
+    if at < len(lengths):
+        yield at, len(lengths)
