@@ -1,10 +1,11 @@
 """SentencePiece encoding by forward filtering and backward sampling over the piece lattice, and lossless decoding.
 
-A text becomes a space symbol before each word. No piece spans the place before a run of space symbols, or a character
-that occurs in no longer piece, so the lattice falls apart there into units; each distinct unit is filtered once per
+A text becomes a space symbol before each word. Where no piece has the two characters to either side of a place (the one
+before a space symbol, most punctuation), the lattice falls apart into units; each distinct unit is filtered once per
 worker (all new units of a batch together, position by position), and every occurrence is sampled backwards from its end:
 at each place one of the pieces that end there is drawn in proportion to its forward weight. The uniform numbers are a
-hash of the row key, the occurrence and the step, so a row's segmentation is reproducible wherever it is computed.
+hash of the row key, the occurrence and the step, and a place's distribution is that of its unit alone, so a row's
+segmentation is reproducible wherever, and with whatever other rows, it is computed.
 
 A piece weighs exp(alpha * w), where w is the score of a unigram model, or -log(1 - score) for the ranks of a BPE model.
 Characters without a piece are written as byte pieces; so is a literal space symbol, which keeps decoding lossless.
@@ -16,7 +17,6 @@ kept by `encode`.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import _sums, mix, powers
+from .words import Growing, Known, _sums, code_points, groups_of, mix, powers, spread
 
 SPACE = "▁"
 BASE = 0xC2B2AE3D27D4EB4F
 BYTE_WEIGHT = -10.0
-#: Distinct units that a worker remembers; then it starts anew.
-REMEMBERED = 200_000
+#: Distinct units that a worker remembers; beyond that it forgets those met only once.
+REMEMBERED = 1 << 19
 #: Smoothing: below 1, likely and unlikely segmentations come nearer.
 ALPHA = 0.2
 LITERAL = 0x110000  # stands for a space symbol that was in the text
@@ -61,39 +61,64 @@ class PieceModel:
             elif not (sp.is_unknown(i) or sp.is_control(i) or sp.is_unused(i)):
                 normal.append((i, piece, sp.get_score(i)))
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
+                if SPACE in piece.lstrip(SPACE):
+                    raise ValueError(f"a piece spans words: {piece!r}")
         ranks = all(float(s).is_integer() and s <= 0 for _, _, s in normal)
         weight = (lambda s: -np.log(1 - s)) if ranks else (lambda s: s)
         # lookup by length: sorted hashes of whole pieces, and of beginnings of longer pieces
         self.longest = max(len(p) for _, p, _ in normal)
-        self.whole, self.begin = {}, {}
+        self.whole, begin = {}, {n: [np.zeros(0, np.uint64)] for n in range(1, self.longest + 1)}
+        self.joined = np.zeros(1 << 22, bool)  # by hash of two characters: whether a piece may have them side by side
         for n in range(1, self.longest + 1):
-            same = [(self._key(p), i, alpha * weight(s)) for i, p, s in normal if len(p) == n]
-            same.sort()
-            self.whole[n] = (np.array([x[0] for x in same], np.uint64), np.array([x[1] for x in same], np.int64), np.array([x[2] for x in same], float))
-            self.begin[n] = np.array(sorted({self._key(p[:n]) for _, p, _ in normal if len(p) > n}), np.uint64)
-        inside = sorted({c for _, p, _ in normal if len(p) > 1 for c in p})
-        self.unit = re.compile(f"[{re.escape(''.join(inside))}]+|.", re.DOTALL)
-        self.whole_word = re.compile(f" +[{re.escape(''.join(inside))}]+")
+            same = [(p, i, alpha * weight(s)) for i, p, s in normal if len(p) == n]
+            codes = np.frombuffer("".join(p for p, *_ in same).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            upto = np.cumsum(_hash(codes) * powers(BASE, n)[0], axis=1, dtype=np.uint64)
+            order = np.argsort(upto[:, -1], kind="stable")
+            self.whole[n] = (upto[order, -1], np.array([x[1] for x in same], np.int64)[order], np.array([x[2] for x in same], float)[order])
+            for m in range(1, n):
+                begin[m].append(upto[:, m - 1])
+            self.joined[self._pairs(codes[:, :-1], codes[:, 1:])] = True
+        self.begin = {n: np.unique(np.concatenate(x)) for n, x in begin.items()}
         self.byte_weight = alpha * BYTE_WEIGHT
+        self.raw = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.n_bytes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
         self.clear()
 
     @staticmethod
-    def _key(piece: str) -> int:
-        codes = np.array([ord(c) for c in piece], np.uint64)
-        return int((_hash(codes) * powers(BASE, len(codes))[0]).sum(dtype=np.uint64))
+    def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return ((left.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (right.astype(np.uint32) * np.uint32(0x85EBCA6B))) >> np.uint32(10)
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.unit_ids: dict[str, int] = {}
-        self.n_units, self.units = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each word
-        self.first_node = np.zeros(0, np.int64)
-        self.end_node = np.zeros(0, np.int64)
-        self.nodes = 0
-        self.upto = np.zeros(0)  # node number + distribution function over the pieces that end there
-        self.piece = np.zeros(0, np.int32)
-        self.prior = np.zeros(0, np.int32)
+        self.known = Known(REMEMBERED)
         self.spelled: list[list[int]] = []  # byte pieces of characters without a piece
         self.spelled_of: dict[int, int] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.first_node, self.n_nodes = Growing(np.int64), Growing(np.int64)  # of each unit
+        self.first_arc, self.n_arcs = Growing(np.int64), Growing(np.int64)  # of each node: the pieces that end there
+        # of each arc: distribution function, piece, characters
+        self.upto, self.piece, self.back = Growing(float), Growing(np.int32), Growing(np.int32)
+
+    def _add(self, nodes: np.ndarray, arcs: np.ndarray, upto: np.ndarray, piece: np.ndarray, back: np.ndarray) -> None:
+        """Units with their numbers of nodes, of arcs of each node, and the arcs."""
+        self.first_node.add(self.n_arcs.n + np.cumsum(nodes) - nodes)
+        self.n_nodes.add(nodes)
+        self.first_arc.add(self.upto.n + np.cumsum(arcs) - arcs)
+        self.n_arcs.add(arcs)
+        self.upto.add(upto)
+        self.piece.add(piece)
+        self.back.add(back)
+
+    def _forget(self, stay: np.ndarray) -> None:
+        nodes = self.n_nodes.now[stay]
+        each = spread(self.first_node.now[stay], nodes)
+        arcs = self.n_arcs.now[each]
+        at = spread(self.first_arc.now[each], arcs)
+        held = self.upto.now[at], self.piece.now[at], self.back.now[at]
+        self._empty()
+        self._add(nodes, arcs, *held)
 
     def _spell(self, code: int) -> int:
         if code not in self.spelled_of:
@@ -102,7 +127,7 @@ class PieceModel:
             self.spelled.append([int(self.byte_ids[b]) for b in raw])
         return self.size + self.spelled_of[code]
 
-    def _learn_units(self, units: list[str]) -> None:
+    def _learn(self, units: list[str]) -> None:
         """Filter new units forward and keep, for each place, the pieces that end there."""
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         length = np.array([len(u) for u in units])
@@ -137,7 +162,7 @@ class PieceModel:
         source, target, piece, weight = (np.concatenate(x) for x in (froms, tos, pieces, weights))
         own = owner[source]
         depth, node_from, node_to = target - first[own], source + own, target + own  # a unit of n characters has n + 1 nodes
-        order = np.lexsort((node_to, depth))
+        order = np.argsort(depth * (len(codes) + len(units)) + node_to, kind="stable")
         forward = np.zeros(len(codes) + len(units))
         bounds = np.searchsorted(depth[order], np.arange(1, length.max() + 2))
         for d in range(len(bounds) - 1):
@@ -147,78 +172,52 @@ class PieceModel:
             top = np.maximum.reduceat(value, at)
             counts = np.diff(np.append(at, len(now)))
             forward[ends] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), at))
-        order = np.argsort(node_to, kind="stable")
-        node_from, node_to, piece = node_from[order], node_to[order], piece[order]
-        p = np.exp(forward[node_from] + weight[order] - forward[node_to])
-        begins = np.flatnonzero(np.append(True, node_to[1:] != node_to[:-1]))
-        total = np.cumsum(p)
-        within = total - np.repeat(total[begins] - p[begins], np.diff(np.append(begins, len(p))))
-        within[np.append(begins[1:], len(p)) - 1] = 1.0
-        self.upto = np.concatenate([self.upto, node_to + self.nodes + np.minimum(within, 1.0)])
-        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
-        self.prior = np.concatenate([self.prior, (node_from + self.nodes).astype(np.int32)])
-        begin_node = first[:-1] + np.arange(len(units)) + self.nodes
-        self.first_node = np.concatenate([self.first_node, begin_node])
-        self.end_node = np.concatenate([self.end_node, begin_node + length])
-        self.nodes += len(codes) + len(units)
-
-    def _learn(self, words: list[str]) -> None:
-        new, counts, flat, ids = [], [], [], self.unit_ids
-        for w in words:
-            if self.whole_word.fullmatch(w):
-                parts = [w]
-            else:  # spaces go with what follows them, if that can stand in a longer piece
-                body = w.lstrip(" ")
-                parts = self.unit.findall(body)
-                spaces = w[: len(w) - len(body)]
-                if parts and self.whole_word.fullmatch(" " + parts[0]):
-                    parts[0] = spaces + parts[0]
-                else:
-                    parts.insert(0, spaces)
-            for u in parts:
-                if u not in ids:
-                    ids[u] = len(ids)
-                    new.append(u)
-                flat.append(ids[u])
-            self.words[w] = len(self.words)
-            counts.append(len(parts))
-        self.n_units = np.concatenate([self.n_units, np.array(counts, np.int64)])
-        self.units = np.concatenate([self.units, np.array(flat, np.int64)])
-        if new:
-            self._learn_units(new)
-
-    def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
-        """The piece ids of each text; keys are 64-bit hashes of the rows' keys."""
-        cut = [_words(t) for t in texts]
-        fresh = {w for ws in cut for w in ws}.difference(self.words)
-        if len(self.words) + len(fresh) > REMEMBERED:
-            self.clear()
-            fresh = {w for ws in cut for w in ws}
-        if fresh:
-            self._learn(sorted(fresh))
-        known = self.words
-        word = np.array([known[w] for ws in cut for w in ws], np.int64)
-        n_words = np.array([len(ws) for ws in cut])
-        if not len(word):
-            return [np.zeros(0, np.int32) for _ in texts]
-        begin = np.append(0, np.cumsum(self.n_units))
-        count = self.n_units[word]
-        ends = np.cumsum(count)
-        unit = self.units[np.repeat(begin[word] - (ends - count), count) + np.arange(ends[-1])]
-        row = np.repeat(np.repeat(np.arange(len(texts)), n_words), count)
+        p = np.exp(forward[node_from] + weight - forward[node_to])
+        order = np.argsort(node_to, kind="stable")  # the pieces that end at a node in order of length
+        node_from, node_to, piece, p = node_from[order], node_to[order], piece[order], p[order]
+        arcs = np.bincount(node_to, minlength=len(forward))
+        rank = np.arange(len(p)) - np.repeat(np.cumsum(arcs) - arcs, arcs)
+        upto = p.copy()
+        for r in range(1, int(rank.max()) + 1):
+            those = np.flatnonzero(rank == r)
+            upto[those] += upto[those - 1]
+        upto[np.cumsum(arcs)[arcs > 0] - 1] = 1.0
+        self._add(length + 1, arcs, np.minimum(upto, 1.0), piece.astype(np.int32), (node_to - node_from).astype(np.int32))
+
+    def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of all texts one after the other, and where each text's begin (n + 1); keys are 64-bit hashes of the rows' keys."""
+        joined, codes, offsets = code_points([" " + t if t else "" for t in texts])
+        if not len(codes):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        shown = np.where(codes == ord(SPACE), LITERAL, np.where(codes == 32, ord(SPACE), codes))
+        begins = np.ones(len(codes), bool)
+        begins[1:] = ~self.joined[self._pairs(shown[:-1], shown[1:])]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
+        unit = self.known.find(joined, codes, starts, np.append(starts[1:], len(codes)), self._learn, self._forget)
+        row = np.searchsorted(offsets, starts, "right") - 1
         in_row = np.arange(len(unit)) - np.searchsorted(row, np.arange(len(texts)))[row]
         seed = mix(keys[row] + mix(in_row.astype(np.uint64) + np.uint64(1)))
-        node, stop = self.end_node[unit], self.first_node[unit]
-        active, step = np.flatnonzero(node > stop), 0
+        stop = self.first_node.now[unit]
+        node, who, step = stop + self.n_nodes.now[unit] - 1, np.arange(len(unit)), 0
         whose, steps, drawn = [], [], []
-        while len(active):
-            u = (mix(seed[active] + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(12)).astype(float) / float(1 << 52)
-            arc = np.searchsorted(self.upto, node[active] + u, "right")
-            drawn.append(self.piece[arc])
-            whose.append(active)
-            steps.append(np.full(len(active), step))
-            node[active] = self.prior[arc]
-            active = active[node[active] > stop[active]]
+        going = node > stop
+        while True:
+            if not going.all():
+                node, stop, who, seed = node[going], stop[going], who[going], seed[going]
+            if not len(node):
+                break
+            u = (mix(seed + np.uint64((step + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(12)).astype(float) / float(1 << 52)
+            arc = self.first_arc.now[node]
+            on = np.flatnonzero(self.upto.now[arc] <= u)
+            while len(on):  # the last arc of a node has 1, so none goes on to the next node's
+                arc[on] += 1
+                on = on[self.upto.now[arc[on]] <= u[on]]
+            drawn.append(self.piece.now[arc])
+            whose.append(who)
+            steps.append(np.full(len(who), step))
+            node = node - self.back.now[arc]
+            going = node > stop
             step += 1
         whose, steps, drawn = np.concatenate(whose), np.concatenate(steps), np.concatenate(drawn)
         many = np.bincount(whose, minlength=len(unit))
@@ -235,21 +234,11 @@ class PieceModel:
             inner = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
             out = np.where(at >= self.size, flat[np.minimum(start[np.maximum(at - self.size, 0)] + inner, len(flat) - 1)], at).astype(np.int32)
             rows = np.repeat(rows, times)
-        return np.split(out, np.searchsorted(rows, np.arange(1, len(texts))))
-
-    def decode(self, ids) -> str:
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids]).decode()[1:]
-
+        return out, np.searchsorted(rows, np.arange(len(texts) + 1))
 
-def _words(text: str) -> list[str]:
-    """Words, each with the spaces before it; the first has one more than the text."""
-    if not text:
-        return []
-    parts = text.split(" ")
-    if "" not in parts:
-        return [" " + p for p in parts]
-    return re.findall(" +[^ ]+| +$", " " + text)
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of pieces in UTF-8, with the space before it."""
+        return self.raw[spread(self.first_byte[ids], self.n_bytes[ids])].tobytes()
 
 
 def model(path: str, alpha: float = ALPHA) -> PieceModel:
@@ -262,18 +251,22 @@ def _run(path: str, alpha: float, digest: bool):
     def run(batches):
         pieces = model(path, alpha)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = pieces.sample(texts, part.column("seed").to_numpy(zero_copy_only=False).view(np.uint64))
-                n = pa.array([len(x) for x in ids], pa.int32())
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            seeds = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
+            for low, high in groups_of([len(t) for t in texts]):
+                row = batch.column("row").slice(low, high - low)
+                ids, offsets = pieces.sample(texts[low:high], seeds[low:high])
+                n = pa.array(np.diff(offsets), pa.int32())
                 if not digest:
-                    offsets = pa.array(np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([part.column("row"), n, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))], ["row", "n_pieces", "pieces"])
+                    yield pa.RecordBatch.from_arrays([row, n, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["row", "n_pieces", "pieces"])
                     continue
-                same = [pieces.decode(x.tolist()) == t if t else not len(x) for x, t in zip(ids, texts)]
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column("row"), n, pa.array(crc, pa.int64()), pa.array(same)], ["row", "n_pieces", "pieces_crc32", "lossless"])
+                same, crc = [], []
+                raw, decoded = memoryview(ids.astype("<u4").tobytes()), memoryview(pieces.decode(ids))
+                bytes_to = np.append(0, np.cumsum(pieces.n_bytes[ids]))[offsets].tolist()
+                for a, b, x, y, t in zip(offsets.tolist(), offsets[1:].tolist(), bytes_to, bytes_to[1:], texts[low:high]):
+                    same.append(decoded[x + 1 : y] == t.encode() if t else a == b)
+                    crc.append(zlib.crc32(raw[4 * a : 4 * b]))
+                yield pa.RecordBatch.from_arrays([row, n, pa.array(crc, pa.int64()), pa.array(same)], ["row", "n_pieces", "pieces_crc32", "lossless"])
 
     return run
 
@@ -296,7 +289,7 @@ def decode(rows: DataFrame, path: str, pieces: str = "pieces") -> DataFrame:
     def run(batches):
         m = model(path)
         for batch in batches:
-            texts = [None if x is None else m.decode(x) if x else "" for x in batch.column(pieces).to_pylist()]
+            texts = [None if x is None else m.decode(np.array(x, np.int64)).decode()[1:] for x in batch.column(pieces).to_pylist()]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
     return rows.mapInArrow(run, rows.select("*").schema.add("decoded", "string"))
