@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .numbers import order
 from .registry import builtin
 
 
@@ -77,47 +79,61 @@ def add(a: Column, kind: str = "double") -> Column:
     return F.when(F.size(a) > 0, fold)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _keyed(a: Column, f: Callable[[Column], Column]) -> Column:
+    """(key, place, element), sorted: null first, then NaN, equal keys in their order."""
+    return F.sort_array(F.transform(a, lambda x, i: F.struct(order(f(x)).alias("k"), i.alias("i"), x.alias("x"))))
+
+
 @builtin("sort/0")
 def sort(a: Column) -> Column:
-    """Ascending, null first."""
-    return F.sort_array(a)
+    """Ascending: null first, then NaN."""
+    return F.transform(F.sort_array(F.transform(a, order)), lambda p: p["value"])
 
 
 @builtin("sort_by/1")
 def sort_by(a: Column, f: Callable[[Column], Column]) -> Column:
-    """Ascending by f, null first, equal keys in their order."""
-    keyed = F.transform(a, lambda x, i: F.struct(f(x).alias("k"), i.alias("i"), x.alias("x")))
-    return F.transform(F.sort_array(keyed), lambda p: p["x"])
+    """Ascending by f, null first, then NaN, equal keys in their order."""
+    return F.transform(_keyed(a, f), lambda p: p["x"])
 
 
 @builtin("unique/0")
 def unique(a: Column) -> Column:
-    return F.sort_array(F.array_distinct(a))
+    return sort(F.array_distinct(a))
 
 
 @builtin("unique_by/1")
 def unique_by(a: Column, f: Callable[[Column], Column]) -> Column:
     """The first of each key, in order of the keys."""
-    keyed = F.sort_array(F.transform(a, lambda x, i: F.struct(f(x).alias("k"), i.alias("i"), x.alias("x"))))
-    firsts = F.filter(keyed, lambda p, i: (i == 0) | ~p["k"].eqNullSafe(F.get(keyed, F.greatest(i - 1, F.lit(0)))["k"]))
-    return F.transform(firsts, lambda p: p["x"])
+    firsts = lambda keyed: F.filter(keyed, lambda p, i: (i == 0) | ~p["k"].eqNullSafe(F.get(keyed, F.greatest(i - 1, F.lit(0)))["k"]))
+    return F.transform(_let(_keyed(a, f), firsts), lambda p: p["x"])
 
 
 @builtin("group_by/1")
 def group_by(a: Column, f: Callable[[Column], Column]) -> Column:
     """Array of groups in order of their keys, members in their order."""
-    keys = F.sort_array(F.array_distinct(F.transform(a, f)))
-    return F.transform(keys, lambda k: F.filter(a, lambda x: f(x).eqNullSafe(k)))
+
+    def groups(keyed: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(keyed)), lambda i: (i == 0) | (i == F.size(keyed)) | ~F.get(keyed, i)["k"].eqNullSafe(F.get(keyed, F.greatest(i - 1, F.lit(0)))["k"]))
+        runs = lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda b, i: F.transform(F.slice(keyed, b + 1, F.get(at, i + 1) - b), lambda p: p["x"]))
+        return _let(begins, runs)
+
+    return F.when(F.size(a) == 0, F.transform(F.slice(a, 1, 0), lambda x: F.array(x))).otherwise(_let(_keyed(a, f), groups))
 
 
 @builtin("min/0")
 def minimum(a: Column) -> Column:
-    return index(F.sort_array(a), 0)
+    """NaN is less than any number, null less than NaN."""
+    return F.array_min(F.transform(a, order))["value"]
 
 
 @builtin("max/0")
 def maximum(a: Column) -> Column:
-    return index(F.sort_array(a), -1)
+    return F.array_max(F.transform(a, order))["value"]
 
 
 @builtin("min_by/1")
@@ -138,8 +154,14 @@ def reverse(a: Column) -> Column:
 
 
 @builtin("flatten/0", "flatten/1", "_flatten/1")
-def flatten(a: Column, depth: int) -> Column:
-    """depth levels of nesting taken away."""
+def flatten(a: Column, depth: int | None = None, kind: T.ArrayType | None = None) -> Column:
+    """depth levels of nesting taken away; all that the type has, where no depth is given."""
+    if depth is None:
+        if kind is None:
+            raise ValueError("flatten needs a depth or the array's type")
+        depth, of = 0, kind.elementType
+        while isinstance(of, T.ArrayType):
+            depth, of = depth + 1, of.elementType
     if depth < 0:
         raise ValueError("flatten depth must not be negative")
     for _ in range(depth):
@@ -231,3 +253,24 @@ def contains(a: Column, b: Column) -> Column:
 
 def contains_strings(a: Column, b: Column) -> Column:
     return F.forall(b, lambda y: F.exists(a, lambda x: F.contains(x, y)))
+
+
+@builtin("contains/1", "inside/1")
+def contains_all(a: Column, ka: T.DataType, b: Column, kb: T.DataType) -> Column:
+    """a contains b, at any depth: strings as parts, arrays if each element of b is contained in one of a, objects if each
+    field of b is contained in a's field of that name; anything else if equal. Null contains null alone."""
+    if isinstance(kb, T.StructType):
+        fields = {x.name: x.dataType for x in ka} if isinstance(ka, T.StructType) else {}
+        every = F.lit(True)
+        for x in kb:
+            every = every & (contains_all(a[x.name], fields[x.name], b[x.name], x.dataType) if x.name in fields else F.lit(False))
+        return F.coalesce(every, F.lit(False))
+    if isinstance(kb, T.ArrayType):
+        if not isinstance(ka, T.ArrayType):
+            return F.lit(False)
+        return F.coalesce(F.forall(b, lambda y: F.exists(a, lambda x: contains_all(x, ka.elementType, y, kb.elementType))), F.lit(False))
+    if isinstance(kb, T.StringType) and isinstance(ka, T.StringType):
+        return F.coalesce(F.contains(a, b), a.isNull() & b.isNull())
+    if isinstance(ka, (T.StructType, T.ArrayType, T.StringType)) or isinstance(kb, T.StringType):
+        return F.lit(False)
+    return a.eqNullSafe(b)

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import math
-import struct
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .registry import builtin
 
@@ -88,44 +82,30 @@ def error(message: Column | str) -> Column:
     return F.when(m.isNotNull(), F.raise_error(m))
 
 
-def _collate(x, out: bytearray) -> None:
-    if x is None:
-        out.append(0x05)
-    elif isinstance(x, bool):
-        out.append(0x11 if x else 0x10)
-    elif isinstance(x, (int, float)):
-        bits = struct.unpack(">Q", struct.pack(">d", math.inf if isinstance(x, int) and x > 10**308 else float(x)))[0]
-        out.append(0x20)
-        out += struct.pack(">Q", bits ^ (0xFFFFFFFFFFFFFFFF if bits >> 63 else 1 << 63))
-    elif isinstance(x, str):
-        out.append(0x30)
-        out += x.encode("utf-16-be", "surrogatepass").replace(b"\0", b"\0\xff") + b"\0\0"
-    elif isinstance(x, list):
-        out.append(0x40)
-        for y in x:
-            _collate(y, out)
-        out.append(0x01)
-    else:
-        out.append(0x50)
-        for k in sorted(x, key=lambda k: k.encode("utf-16-be", "surrogatepass")):
-            _collate(k, out)
-        out.append(0x01)
-        for k in sorted(x, key=lambda k: k.encode("utf-16-be", "surrogatepass")):
-            _collate(x[k], out)
-
-
-def _key(s: str | None) -> bytes:
-    out = bytearray()
-    _collate(None if s is None else json.loads(s), out)
-    return bytes(out)
-
-
-def collation_key(text: Column | str) -> Column:
-    """JSON text as bytes whose order is the total order of values: null, false, true, numbers, strings by UTF-16 unit, arrays, objects.
-
-    Spark then groups, joins and sorts mixed values by it. NaN cannot occur in JSON text."""
-
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(_key)
-
-    return F.pandas_udf(run, T.BinaryType())(text)
+def order_key(doc: Column, depth: int = 3) -> Column:
+    """A VARIANT as a value that Spark sorts, groups and joins in the language's total order: null, false, true, numbers,
+    strings by UTF-16 unit, arrays element by element, objects by their sorted names and then their values.
+
+    Whole numbers beyond 2**53 that are one double stay apart. Containers may be nested `depth` deep; deeper ones are an error."""
+    kind = type_of(doc)
+    text = F.try_variant_get(doc, "$", "string")
+    number = F.when(kind == "number", F.try_variant_get(doc, "$", "double"))
+    key = [
+        F.when(kind == "null", 0).when(kind == "boolean", F.when(F.try_variant_get(doc, "$", "boolean"), 2).otherwise(1)).when(kind == "number", 3).when(kind == "string", 4).when(kind == "array", 5).otherwise(6).alias("rank"),
+        number.alias("number"), F.when(kind == "number", F.try_variant_get(doc, "$", "decimal(38,0)")).alias("whole"), F.when(kind == "string", F.encode(text, "UTF-16BE")).alias("text"),
+    ]
+    if not depth:
+        deep = F.raise_error(F.lit("a document is nested deeper than its order key"))
+        return F.struct(*key, F.when(kind.isin("array", "object"), deep.cast("boolean")).alias("deeper"))
+    inner = lambda x: order_key(x, depth - 1)
+    items = F.when(kind == "array", F.try_variant_get(doc, "$", "array<variant>"))
+    fields = F.when(kind == "object", F.try_variant_get(doc, "$", "map<string,variant>"))
+    name = lambda n: F.encode(n, "UTF-16BE")
+    # names first, then values, both in order of name
+    entries = F.array_sort(F.transform(F.map_entries(fields), lambda e: F.struct(name(e["key"]).alias("n"), inner(e["value"]).alias("v"))))
+    return F.struct(*key, F.transform(items, inner).alias("items"), F.transform(entries, lambda e: e["n"]).alias("names"), F.transform(entries, lambda e: e["v"]).alias("values"))
+
+
+def try_(attempt: Column, handler: Column) -> Column:
+    """try e catch h, for an attempt that gives null where it fails (`try_parse`, `try_cast`, `get`): the handler's value there."""
+    return F.coalesce(attempt, handler)

@@ -80,3 +80,20 @@ def tojson(x: Column) -> Column:
 def fromjson(s: Column, schema: str) -> Column:
     """JSON text by a schema; text that is not JSON is an error."""
     return F.from_json(s, schema, {"mode": "FAILFAST"})
+
+
+def formatted(fmt, *parts: Column | str | tuple[Column, str]) -> Column:
+    """@fmt "...\\(e)...": literal strings as they are, columns by the formatter, one of this module's or its name. A value
+    that is no string comes with its type, (column, "double"), and is shown as JSON first."""
+    from . import strings
+
+    f = globals()[fmt.lstrip("@")] if isinstance(fmt, str) else fmt
+    cells = f in (csv, tsv, sh)
+
+    def one(part) -> Column:
+        if isinstance(part, str):
+            return F.lit(part)
+        x, kind = part if isinstance(part, tuple) else (part, "string")
+        return f((x, kind)) if cells else f(strings.tostring(x, kind))
+
+    return F.concat(*[one(p) for p in parts])

@@ -54,6 +54,16 @@ def modulo(a: Column, b: Column) -> Column:
     return F.when(F.isnan(b.cast("double")), whole(a)).when(whole(b) == 0, zero).otherwise(whole(a) % whole(b))
 
 
+def is_nan(x: Column) -> Column:
+    """Whether a value of any type is NaN; false for null. Constant for types that have none."""
+    return F.typeof(x).isin("double", "float") & F.coalesce(x.cast("string") == "NaN", F.lit(False))
+
+
+def order(x: Column) -> Column:
+    """A key that sorts as the language does: null, then NaN, then the other values."""
+    return F.struct(F.when(x.isNull(), 0).when(is_nan(x), 1).otherwise(2).alias("rank"), x.alias("value"))
+
+
 def negate(a: Column) -> Column:
     return -a
 

@@ -61,6 +61,39 @@ def delpaths(doc: Column, *paths: Path) -> Column:
     return doc
 
 
+def destructure(doc: Column, pattern: list | dict | str) -> dict[str, Column]:
+    """`as [$a, {k: $b}]`: the names in a pattern of lists (places), objects (fields) and names, each with its part of the document."""
+    if isinstance(pattern, str):
+        return {pattern: doc}
+    parts = [(arrays.index(doc, i), p) for i, p in enumerate(pattern)] if isinstance(pattern, list) else [(doc[k], p) for k, p in pattern.items()]
+    return {name: c for part, p in parts for name, c in destructure(part, p).items()}
+
+
+def at(doc: Column, kind: T.DataType, key: Column | str | int | tuple) -> Column:
+    """.[e]: a field, a place, a slice or the places of a sub-array, as the types of document and key say; null where it is missing."""
+    if isinstance(kind, T.MapType):
+        return F.try_element_at(doc, key if isinstance(key, Column) else F.lit(key))
+    if isinstance(kind, T.StructType):
+        if isinstance(key, Column):  # a computed name: the fields must have one type
+            found = F.lit(None)
+            for field in kind:
+                found = F.when(key == field.name, doc[field.name]).otherwise(found)
+            return found
+        return doc[key] if key in kind.fieldNames() else F.lit(None)
+    if isinstance(key, tuple):
+        return arrays.slice_(doc, *key)
+    if isinstance(key, list):
+        return arrays.index_of(doc, F.array(*[F.lit(k) for k in key]))
+    if isinstance(key, Column):
+        return F.get(doc, F.when(key < 0, F.size(doc) + key).otherwise(key).cast("int"))
+    return arrays.index(doc, key)
+
+
+def build(*pairs: tuple[Column | str, Column]) -> Column:
+    """{(e): v, ...}: a map with computed keys; of equal keys the last counts."""
+    return from_entries(F.array(*[F.struct((k if isinstance(k, Column) else F.lit(k)).alias("key"), v.alias("value")) for k, v in pairs]))
+
+
 def _json(x: Column, kind: T.DataType) -> Column:
     from .numbers import number_text
 
@@ -74,13 +107,20 @@ def _json(x: Column, kind: T.DataType) -> Column:
 
 
 @builtin("paths/0", "paths/1", "leaf_paths/0", "recurse/0", "recurse_down/0")
-def nodes(doc: Column, kind: T.DataType, leaves: bool = False) -> Column:
-    """All places of a document below its root in pre-order, or the scalars alone: array of (path, value), the path joined by dots and the value as JSON."""
+def nodes(doc: Column, kind: T.DataType, leaves: bool = False, where: Callable[[Column, T.DataType], Column] | None = None, values: bool = True) -> Column:
+    """All places of a document below its root in pre-order, or the scalars alone: array of (path, value), the path joined by dots and the value as JSON.
+
+    where(value, type) keeps the places for which it is true. Without values the array holds the paths alone, and no JSON is made."""
+    inner = (T.StructType, T.ArrayType)
+    none = F.array().cast("array<struct<path:string,value:string>>" if values else "array<string>")
+
+    def node(p: Column, v: Column, k: T.DataType) -> Column:
+        got = F.array(F.struct(p.alias("path"), _json(v, k).alias("value")) if values else p)
+        wanted = v.isNotNull() if where is None else v.isNotNull() & F.coalesce(where(v, k), F.lit(False))
+        return F.when(wanted, got).otherwise(none)
 
     def below(x: Column, of: T.DataType, prefix: Column | None) -> list[Column]:
         name = lambda part: part if prefix is None else F.concat(prefix, F.lit("."), part)
-        node = lambda p, v, k: F.array(F.struct(p.alias("path"), _json(v, k).alias("value")))
-        inner = (T.StructType, T.ArrayType)
         out = []
         if isinstance(of, T.StructType):
             for field in of:
@@ -90,10 +130,10 @@ def nodes(doc: Column, kind: T.DataType, leaves: bool = False) -> Column:
                 out += below(x[field.name], field.dataType, p)
         elif isinstance(of, T.ArrayType):
             each = lambda y, i: F.concat(*([] if leaves and isinstance(of.elementType, inner) else [node(name(i.cast("string")), y, of.elementType)]), *below(y, of.elementType, name(i.cast("string"))))
-            out.append(F.coalesce(F.flatten(F.transform(x, each)), F.array().cast("array<struct<path:string,value:string>>")))
+            out.append(F.coalesce(F.flatten(F.transform(x, each)), none))
         return out
 
-    return F.filter(F.concat(*below(doc, kind, None)), lambda n: n["value"].isNotNull())
+    return F.concat(*below(doc, kind, None))
 
 
 @builtin("walk/1", since="1.6")
@@ -141,11 +181,18 @@ def array_entries(a: Column) -> Column:
 
 
 @builtin("from_entries/0")
-def from_entries(entries: Column) -> Column:
-    """A map of the pairs; of equal keys the last counts, at the first one's place, whatever the session says about repeated keys."""
-    pair = lambda e, n: e[n]
-    ks = F.array_distinct(F.transform(entries, lambda e: pair(e, "key")))
-    return F.map_from_entries(F.transform(ks, lambda k: F.struct(k.alias("key"), arrays.index(F.filter(entries, lambda e: pair(e, "key") == k), -1)["value"].alias("value"))))
+def from_entries(entries: Column, keys: tuple[str, ...] = ("key",), values: tuple[str, ...] = ("value",)) -> Column:
+    """A map of the pairs; of equal keys the last counts, at the first one's place, whatever the session says about repeated keys.
+
+    keys and values name the fields to look in, the first that isn't null counts: ("key", "name") where pairs have both.
+    Spark finds Key, Name and Value under these names too. A null key is an error."""
+    key = lambda e: F.coalesce(*[e[k] for k in keys])
+    named = F.transform(entries, lambda e, i: F.struct(F.coalesce(key(e), F.raise_error(F.lit("Cannot use null as object key"))).alias("k"), i.alias("i"), F.coalesce(*[e[v] for v in values]).alias("v")))
+    sorted_ = lambda x: F.array_sort(x, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(a["i"] - b["i"]))
+    edge = lambda x, step: F.filter(x, lambda e, i: ~F.coalesce(F.get(x, i + step)["k"] == e["k"], F.lit(False)))
+    last = lambda x: F.zip_with(F.filter(x, lambda e, i: (i == 0) | ~F.coalesce(F.get(x, F.greatest(i - 1, F.lit(0)))["k"] == e["k"], F.lit(False))), edge(x, 1), lambda a, z: F.struct(a["i"].alias("i"), z["k"].alias("k"), z["v"].alias("v")))
+    placed = F.array_sort(arrays._let(sorted_(named), last), lambda a, b: a["i"] - b["i"])
+    return F.map_from_entries(F.transform(placed, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value"))))
 
 
 @builtin("with_entries/1")

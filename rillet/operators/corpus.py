@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import order
+
 
 def _cols(df: DataFrame, names: list[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in names])
@@ -39,8 +41,10 @@ def product(df: DataFrame, **arrays: Column) -> DataFrame:
     return df
 
 
-def iterate(df: DataFrame, a: Column, value: str = "value", place: str | None = None) -> DataFrame:
-    """.[]: a row for each element, with its place if asked for."""
+def iterate(df: DataFrame, a: Column, value: str = "value", place: str | None = None, optional: bool = False) -> DataFrame:
+    """.[]: a row for each element, with its place if asked for. Null cannot be iterated and is an error; optional (.[]?) passes over it."""
+    if not optional:
+        a = F.coalesce(a, F.raise_error(F.lit("Cannot iterate over null")))
     return df.select("*", F.posexplode(a).alias(place, value)) if place else df.select("*", F.explode(a).alias(value))
 
 
@@ -55,14 +59,20 @@ def group_collect(df: DataFrame, by: list[str], order: list[str], item: Column,
     return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("__m")), lambda m: m["__item"]).alias(name))
 
 
+def _ordered(df: DataFrame, names: list[str] | tuple[str, ...]) -> list[Column]:
+    """Keys that put NaN before the numbers; columns of other types as they are."""
+    kinds = dict(df.dtypes)
+    return [order(F.col(f"`{n}`")) if kinds.get(n) in ("double", "float") else F.col(f"`{n}`") for n in names]
+
+
 def sort_by(df: DataFrame, *keys: Column | str) -> DataFrame:
-    """A range-partitioned sort; null first. Add the order column last for stability."""
-    return df.orderBy(*keys)
+    """A range-partitioned sort; null first, then NaN. Add the order column last for stability. A Column is taken as it is, with its own direction."""
+    return df.orderBy(*[_ordered(df, [k])[0] if isinstance(k, str) else k for k in keys])
 
 
 def top_k(df: DataFrame, k: int, *keys: Column | str) -> DataFrame:
     """sort_by(f) | .[:k]: k rows a task, then k in all."""
-    return df.orderBy(*keys).limit(k)
+    return sort_by(df, *keys).limit(k)
 
 
 def unique_by(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -76,14 +86,14 @@ def unique(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def min_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row with the least keys, the first of several."""
-    return df.agg(F.min_by(_cols(df, df.columns), _cols(df, [*keys, *order])).alias("m")).select("m.*")
+def min_by(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """The row with the least keys, the first of several in order of `by`. Null is least, then NaN."""
+    return df.agg(F.min_by(_cols(df, df.columns), F.struct(*_ordered(df, [*keys, *by])).alias("k")).alias("m")).select("m.*")
 
 
-def max_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row with the greatest keys, the last of several."""
-    return df.agg(F.max_by(_cols(df, df.columns), _cols(df, [*keys, *order])).alias("m")).select("m.*")
+def max_by(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """The row with the greatest keys, the last of several in order of `by`."""
+    return df.agg(F.max_by(_cols(df, df.columns), F.struct(*_ordered(df, [*keys, *by])).alias("k")).alias("m")).select("m.*")
 
 
 def add(df: DataFrame, value: Column, name: str = "total") -> DataFrame:
@@ -95,6 +105,11 @@ def any_(df: DataFrame, p: Column, name: str = "any") -> DataFrame:
     return df.agg(F.coalesce(F.bool_or(p), F.lit(False)).alias(name))
 
 
+def any_all(df: DataFrame, some: Column, every: Column) -> DataFrame:
+    """any and all in one pass."""
+    return df.agg(F.coalesce(F.bool_or(some), F.lit(False)).alias("any"), F.coalesce(F.bool_and(F.coalesce(every, F.lit(False))), F.lit(True)).alias("all"))
+
+
 def all_(df: DataFrame, p: Column, name: str = "all") -> DataFrame:
     return df.agg(F.coalesce(F.bool_and(F.coalesce(p, F.lit(False))), F.lit(True)).alias(name))
 
@@ -104,7 +119,8 @@ def first(df: DataFrame, *order: str) -> DataFrame:
 
 
 def last(df: DataFrame, *order: str) -> DataFrame:
-    return df.orderBy(*[F.desc(o) for o in order]).limit(1)
+    """The last row; a row of nulls where there is none, as in the language."""
+    return df.agg(F.max_by(_cols(df, df.columns), F.struct(*_ordered(df, order))).alias("m")).select("m.*")
 
 
 def limit(df: DataFrame, n: int, *order: str) -> DataFrame:
@@ -126,13 +142,20 @@ def foreach(df: DataFrame, by: list[str], order: list[str], **states: Column) ->
 
 def running_total(df: DataFrame, order: str, value: str, width: int, name: str = "running") -> DataFrame:
     """The fold over the whole corpus, in order of a whole number: totals of ranges of `width` values of it are summed up
-    first (one small row a range), then each range runs by itself. No task holds more than a range."""
-    ranged = df.withColumn("__range", F.floor(F.col(order) / width))
-    totals = ranged.groupBy("__range").agg(F.sum(value).alias("__total"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__total").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first, those again by `width` ranges, then each range runs by itself. No task holds more than a range, but for one
+    with a row for each width * width values."""
+
+    def before(parts: DataFrame, of: str, within: Window | None = None) -> DataFrame:
+        window = (Window.partitionBy(within) if within else Window.partitionBy()).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+        return parts.withColumn("__before", F.coalesce(F.sum("__total").over(window), F.lit(0)))
+
+    ranged = df.withColumn("__range", F.floor(F.col(order) / width)).withColumn("__span", F.floor(F.col("__range") / width))
+    ranges = ranged.groupBy("__span", "__range").agg(F.sum(value).alias("__total"))
+    spans = before(ranges.groupBy("__span").agg(F.sum("__total").alias("__total")), "__span").select("__span", F.col("__before").alias("__outer"))
+    starts = before(ranges, "__range", "__span").join(spans, "__span").select("__range", (F.col("__before") + F.col("__outer")).alias("__start"))
     within = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = ranged.withColumn("__within", F.sum(value).over(within)).join(before.select("__range", "__before"), "__range")
-    return run.withColumn(name, F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
+    run = ranged.withColumn("__within", F.sum(value).over(within)).join(starts, "__range")
+    return run.withColumn(name, F.col("__start") + F.col("__within")).drop("__range", "__span", "__within", "__start")
 
 
 def neighbours(df: DataFrame, by: list[str], order: list[str], value: str, distance: int = 1) -> DataFrame:

@@ -1,4 +1,7 @@
-"""recurse, while and until over columns, as recursive common table expressions."""
+"""recurse, while and until over columns, as recursive common table expressions.
+
+Each level is one Spark job over the rows that go on. A fold that has not ended after `most` levels is an error, as is one
+whose rows of all levels together go beyond spark.sql.cteRecursionRowLimit; both can be raised."""
 
 from __future__ import annotations
 
@@ -6,39 +9,36 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+MOST = 1000
+
 
-def _recursive(df: DataFrame, going: str, step: dict[str, str], final: str | None = None, most: int = 1000) -> DataFrame:
+def _recursive(df: DataFrame, seed: str, going: str, emitted: str, step: dict[str, str], final: str, most: int) -> DataFrame:
     spark = df.sparkSession
     name = f"r{uuid.uuid4().hex}"
     df.createOrReplaceTempView(f"{name}_seed")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(most))
-    columns = ", ".join(f"CAST({step.get(c, c)} AS {t}) AS {c}" for c, t in df.dtypes)
-    names = ", ".join(df.columns)
-    # one that meets the condition is emitted and goes on; `until` emits only those that do not
-    return spark.sql(f"""WITH RECURSIVE r({names}, level) AS (
-        SELECT {names}, 0 FROM {name}_seed {"" if final else f"WHERE {going}"}
-        UNION ALL SELECT {names}, level + 1 FROM (SELECT {columns}, level FROM r WHERE {going}) {"" if final else f"WHERE {going}"})
-        SELECT * FROM r {f"WHERE {final}" if final else ""}""")
-
-
-def while_(df: DataFrame, condition: str, **step: str) -> DataFrame:
+    try:
+        columns = ", ".join(f"CAST({step.get(c, c)} AS {t}) AS {c}" for c, t in df.dtypes)
+        names = ", ".join(df.columns)
+        return spark.sql(f"""WITH RECURSIVE r({names}, level) MAX RECURSION LEVEL {most} AS (
+            SELECT {names}, 0 FROM {name}_seed WHERE {seed}
+            UNION ALL SELECT * FROM (SELECT {columns}, level + 1 FROM r WHERE {going}) AS n({names}, level) WHERE {emitted})
+            SELECT * FROM r WHERE {final}""")
+    finally:
+        spark.catalog.dropTempView(f"{name}_seed")
+
+
+def while_(df: DataFrame, condition: str, most: int = MOST, **step: str) -> DataFrame:
     """Each state while the condition holds, with its level. step: SQL of the next value of a column."""
-    return _recursive(df, condition, step)
+    return _recursive(df, condition, "true", condition, step, "true", most)
 
 
-def until(df: DataFrame, condition: str, **step: str) -> DataFrame:
+def until(df: DataFrame, condition: str, most: int = MOST, **step: str) -> DataFrame:
     """The first state for which the condition holds."""
-    return _recursive(df, f"NOT ({condition})", step, condition)
+    return _recursive(df, "true", f"NOT coalesce({condition}, false)", "true", step, condition, most)
 
 
-def recurse(df: DataFrame, condition: str, **step: str) -> DataFrame:
-    """recurse(f; condition): the seed and every state after it that meets the condition."""
-    spark = df.sparkSession
-    name = f"r{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(f"{name}_seed")
-    columns = ", ".join(f"CAST({step.get(c, c)} AS {t}) AS {c}" for c, t in df.dtypes)
-    names = ", ".join(df.columns)
-    return spark.sql(f"""WITH RECURSIVE r({names}, level) AS (
-        SELECT {names}, 0 FROM {name}_seed
-        UNION ALL SELECT * FROM (SELECT {columns}, level + 1 FROM r) AS n({names}, level) WHERE {condition})
-        SELECT * FROM r""")
+def recurse(df: DataFrame, condition: str | None = None, most: int = MOST, **step: str) -> DataFrame:
+    """recurse(f; condition): the seed and every state after it that meets the condition; recurse(f), without one: every
+    state until a stepped column is null."""
+    going = condition or " AND ".join(f"{c} IS NOT NULL" for c in step)
+    return _recursive(df, "true", "true", going, step, "true", most)

@@ -152,10 +152,67 @@ record("object_deep_merge", "nation", """SELECT n_nationkey, '{"x":{"p":' || n_r
 @query("""SELECT rank, doc FROM (VALUES (1, 'null'), (2, 'false'), (3, 'true'), (4, '-1.5'), (5, '2'), (6, '10'), (7, '"10"'), (8, '"2"'), (9, '[]'), (10, '[1]'), (11, '[1,2]'), (12, '{}'), (13, '{"a":1}'), (14, '{"a":2}'), (15, '{"b":0}')) t(rank, doc)""")
 def cmp_total_order(spark, sf_dir):
     docs = ['{"b":0}', "10", '"2"', "[1,2]", "true", "null", '{"a":2}', "-1.5", '"10"', "[]", "2", "{}", "false", "[1]", '{"a":1}']
-    rows = spark.createDataFrame([(d,) for d in docs], "doc string").withColumn("key", D.collation_key("doc"))
+    rows = spark.createDataFrame([(d,) for d in docs], "doc string").withColumn("key", D.order_key(D.parse(col("doc"))))
     return rows.select("doc", F.row_number().over(Window.orderBy("key")).alias("rank"))
 
 
+#: A document of mixed kinds made of an event.
+MIXED = """CASE event_id % 6 WHEN 0 THEN 'null' WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END WHEN 2 THEN CAST(user_id % 7 AS VARCHAR) WHEN 3 THEN '"' || event_type || '"' WHEN 4 THEN '[' || (user_id % 3) || ']' ELSE '{"k":' || (user_id % 2) || '}' END"""
+
+
+def _mixed(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("doc", F.expr(MIXED.replace("VARCHAR", "STRING")))
+
+
+@query(f"SELECT doc, CAST(count(*) AS BIGINT) AS n, CAST(min(event_id) AS BIGINT) AS first_id FROM (SELECT event_id, {MIXED} AS doc FROM events) GROUP BY doc")
+def group_by_mixed(spark, sf_dir):
+    rows = _mixed(spark, sf_dir).withColumn("key", D.order_key(D.parse(col("doc"))))
+    return C.group_agg(rows, ["key"], doc=F.min("doc"), n=F.count("*"), first_id=F.min("event_id").cast("long")).drop("key")
+
+
+@query(f"""SELECT CAST(event_id AS BIGINT) AS event_id, doc FROM (SELECT event_id, {MIXED} AS doc, event_id % 6 AS kind, user_id FROM events)
+ORDER BY kind, CASE kind WHEN 1 THEN 1 - user_id % 2 WHEN 2 THEN user_id % 7 WHEN 4 THEN user_id % 3 WHEN 5 THEN user_id % 2 ELSE 0 END, doc, event_id DESC LIMIT 400""")
+def sort_by_mixed(spark, sf_dir):
+    rows = _mixed(spark, sf_dir).withColumn("key", D.order_key(D.parse(col("doc"))))
+    return C.top_k(rows, 400, "key", F.desc("event_id")).select(col("event_id").cast("long").alias("event_id"), "doc")
+
+
+#: A quantity of which some are NaN and some null, and the place that the language's order gives it.
+EDGED = "CASE WHEN l_orderkey % 5 = 0 THEN CAST('NaN' AS DOUBLE) WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END"
+EDGED_RANK = "CASE WHEN x IS NULL THEN 0 WHEN isnan(x) THEN 1 ELSE 2 END"
+
+
+def _edged(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(EDGED).alias("x"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CAST(x AS VARCHAR) IS NULL AS empty, coalesce(isnan(x), false) AS odd FROM (SELECT l_orderkey, l_linenumber, {EDGED} AS x FROM lineitem)
+ORDER BY {EDGED_RANK}, CASE WHEN isnan(x) THEN 0 ELSE x END, l_orderkey, l_linenumber LIMIT 500""")
+def sort_by_nan(spark, sf_dir):
+    rows = C.top_k(_edged(spark, sf_dir), 500, "x", "l_orderkey", "l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", col("x").isNull().alias("empty"), numbers.is_nan(col("x")).alias("odd"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, x FROM (SELECT l_orderkey, l_linenumber, {EDGED} AS x FROM lineitem) ORDER BY {EDGED_RANK} DESC, CASE WHEN isnan(x) THEN 0 ELSE x END DESC, l_orderkey DESC, l_linenumber DESC LIMIT 1""")
+def max_by_nan(spark, sf_dir):
+    return C.max_by(_edged(spark, sf_dir), ["x"], ["l_orderkey", "l_linenumber"])
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, isnan(x) AS odd FROM (SELECT l_orderkey, l_linenumber, {EDGED} AS x FROM lineitem WHERE l_orderkey % 7 <> 0) ORDER BY {EDGED_RANK}, l_orderkey, l_linenumber LIMIT 1""")
+def min_by_nan(spark, sf_dir):
+    found = C.min_by(_edged(spark, sf_dir).where("l_orderkey % 7 <> 0"), ["x"], ["l_orderkey", "l_linenumber"])
+    return found.select("l_orderkey", "l_linenumber", F.isnan("x").alias("odd"))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'NaN' ELSE CAST(list_min(embedding) = least_of AS VARCHAR) END AS least, greatest, CASE WHEN vec_id % 3 = 0 THEN 'NaN' ELSE '-' END AS first_sorted
+FROM (SELECT vec_id, embedding, list_min(embedding) AS least_of, CAST(list_max(embedding) AS DOUBLE) AS greatest FROM embeddings)""")
+def array_order_nan(spark, sf_dir):
+    odd = F.concat(F.transform("embedding", lambda x: x.cast("double")), F.when(col("vec_id") % 3 == 0, F.array(numbers.nan())).otherwise(F.array().cast("array<double>")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", odd.alias("a"), F.array_min("embedding").cast("double").alias("m"))
+    shown = lambda x, other: F.when(F.isnan(x), "NaN").otherwise(other)
+    return rows.select("vec_id", shown(A.minimum(col("a")), (A.minimum(col("a")) == col("m")).cast("string")).alias("least"), A.maximum(col("a")).alias("greatest"), shown(A.first(A.sort(col("a"))), F.lit("-")).alias("first_sorted"))
+
+
 # paths and updates
 
 record("assign_eq", "events", "SELECT event_id, user_id, CAST(0 AS DOUBLE) AS value FROM events", event_id=lambda: col("event_id"), user_id=lambda: col("user_id"),
@@ -191,7 +248,13 @@ def leaf_paths(spark, sf_dir):
 @query("""SELECT o_orderkey, path FROM (SELECT o_orderkey, unnest(['key', 'inner', 'inner.status', 'inner.price', 'tags', 'tags.0', 'tags.1']) AS path FROM orders)""")
 def paths(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.inline(objects.nodes(_nested(), NESTED))).select("o_orderkey", "path")
+    return o.select("o_orderkey", F.explode(objects.nodes(_nested(), NESTED, values=False)).alias("path"))
+
+
+@query("""SELECT o_orderkey, path FROM (SELECT o_orderkey, unnest(CASE WHEN o_totalprice >= 100000 THEN ['key', 'inner.price'] ELSE ['key'] END) AS path FROM orders)""")
+def paths_where(spark, sf_dir):
+    number = lambda x, k: F.lit(True) if isinstance(k, T.LongType) or isinstance(k, T.IntegerType) else x >= 100000 if isinstance(k, T.DoubleType) else F.lit(False)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(objects.nodes(_nested(), NESTED, where=number, values=False)).alias("path"))
 
 
 @query("""SELECT o_orderkey, CAST(count(*) AS BIGINT) AS n FROM (SELECT o_orderkey, unnest(range(0, 8)) FROM orders) GROUP BY o_orderkey""")
@@ -302,7 +365,7 @@ def avg_idiom(spark, sf_dir):
 @query("SELECT bool_or(l_quantity > 49) AS some, bool_and(l_quantity > 0) AS every FROM lineitem")
 def any_all(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
-    return C.any_(rows, col("l_quantity") > 49, "some").crossJoin(C.all_(rows, col("l_quantity") > 0, "every"))
+    return C.any_all(rows, col("l_quantity") > 49, col("l_quantity") > 0).select(col("any").alias("some"), col("all").alias("every"))
 
 
 @query("SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 7")
@@ -500,6 +563,16 @@ record("re_scan", "pages", r"SELECT page_id, array_to_string(regexp_extract_all(
 record("re_split", "pages", r"SELECT page_id, array_to_string(string_split_regex(url, '[/?&]+'), ' ') AS v FROM pages", page_id=lambda: col("page_id"), v=lambda: F.array_join(regex.split_re(col("url"), "[/?&]+"), " "))
 record("re_sub", "customer", r"SELECT c_custkey, regexp_replace(c_name, '0+', '<\0>') AS v FROM customer", c_custkey=lambda: col("c_custkey"), v=lambda: regex.sub(col("c_name"), "(?<z>0+)", "<${z}>"))
 record("re_gsub", "pages", r"SELECT page_id, regexp_replace(url, '(\d)', '[\1]', 'g') AS v FROM pages", page_id=lambda: col("page_id"), v=lambda: regex.gsub(col("url"), r"(?<d>\d)", "[${d}]"))
+record("re_sub_lookaround", "part", r"SELECT p_partkey, regexp_replace(p_name, '([a-z])( )([a-z])', '\1_\3') AS v FROM part", p_partkey=lambda: col("p_partkey"), v=lambda: regex.sub(col("p_name"), "(?<=[a-z]) (?=[a-z])", "_"))
+record("re_capture_optional", "customer", r"SELECT c_custkey, regexp_extract(c_name, '#(\d+)', 1) AS d, NULLIF(regexp_extract(c_name, '([13579])$', 1), '') AS odd FROM customer",
+       c_custkey=lambda: col("c_custkey"), d=lambda: regex.capture(col("c_name"), r"#(?<d>\d*?(?<odd>[13579])?$)")["d"], odd=lambda: regex.capture(col("c_name"), r"#(?<d>\d*?(?<odd>[13579])?$)")["odd"])
+record("re_capture_all", "pages", r"SELECT page_id, array_to_string(list_transform(regexp_extract_all(url, '[a-z]+[.]'), lambda x: rtrim(x, '.')), ',') AS v FROM pages",
+       page_id=lambda: col("page_id"), v=lambda: F.array_join(F.transform(regex.capture(col("url"), "(?<w>[a-z]+)[.]", "g"), lambda m: m["w"]), ","))
+record("re_scan_groups", "pages", r"SELECT page_id, array_to_string(list_transform(regexp_extract_all(url, '[a-z][./?=]'), lambda x: x[2] || x[1]), ',') AS v FROM pages",
+       page_id=lambda: col("page_id"), v=lambda: F.array_join(F.transform(regex.scan(col("url"), "([a-z])([./?=])"), lambda g: F.concat(g[1], g[0])), ","))
+record("re_gsub_function", "part", r"SELECT p_partkey, upper(p_name[1]) || p_name[2:strpos(p_name, ' ')] || upper(p_name[strpos(p_name, ' ') + 1]) || p_name[strpos(p_name, ' ') + 2:] AS v FROM part WHERE regexp_full_match(p_name, '[a-z]+ [a-z]+')",
+       p_partkey=lambda: col("p_partkey"), v=lambda: regex.gsub(col("p_name"), r"\b(?<l>[a-z])", lambda g: F.upper(g["l"])))
+record("re_test_not_empty", "customer", "SELECT c_custkey, contains(c_name, '7') AS v FROM customer", c_custkey=lambda: col("c_custkey"), v=lambda: regex.test(col("c_name"), "7*", "n"))
 
 
 def _match():

@@ -30,9 +30,17 @@ def _values(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["file", "place", "value"])
 
 
-def read_values(spark: SparkSession, path: str) -> DataFrame:
-    """file, place, value (JSON text): all values of each file, which may stand side by side or over several lines. A file is read by one task; for large inputs use lines."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+#: Files of values that may run over lines cannot be split; beyond this size they are refused.
+LARGEST_FILE = 256 << 20
+
+
+def read_values(spark: SparkSession, path: str, largest: int = LARGEST_FILE) -> DataFrame:
+    """file, place, value (JSON text): all values of each file, which may stand side by side or over several lines. A file is
+    read by one task, so one of more than `largest` bytes is an error: values that are a line each are for `read_lines`, in splits."""
+    files = spark.read.text(path, wholetext=True)
+    small = F.col("_metadata.file_size") <= largest
+    refused = F.raise_error(F.concat(F.lit("too large to read as a whole, use read_lines: "), F.col("_metadata.file_path")))
+    files = files.select(F.col("_metadata.file_path").alias("file"), F.when(small, F.col("value")).otherwise(refused.cast("string")).alias("value"))
     return files.mapInArrow(_values, "file string, place long, value string")
 
 
@@ -44,7 +52,8 @@ def read_lines(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def data_file(spark: SparkSession, path: str) -> DataFrame:
-    """import "p" as $name: all values of a file as one array of JSON texts."""
+    """import "p" as $name: all values of a file as one array of JSON texts, for data small enough to be a value; larger
+    data is joined as the rows of `read_values` or `read_lines`."""
     return read_values(spark, path).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("file", "place", "value"))), lambda v: v["value"]).alias("values"))
 
 

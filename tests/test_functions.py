@@ -4,12 +4,14 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillet.functions import arrays as A
 from rillet.functions import documents as D
 from rillet.functions import formats, numbers, objects, regex, registry, strings, web
+from rillet.operators import corpus as C
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +75,26 @@ def test_match_offsets_and_captures(value):
         regex.test(F.lit("a"), "a", "q")
 
 
+def test_groups_of_patterns():
+    assert regex._groups(r"(?<a>x)(y)?((?<b>z)|w)[(](?:(q))*(?=(p))(?<!k)(v){0,2}\(") == [("a", True), (None, False), (None, True), ("b", False), (None, False), (None, True), (None, False)]
+    assert regex._groups("(?<a>x)|(?<b>y)") == [("a", False), ("b", False)] and regex._groups("[])(]x") == []
+
+
+@pytest.mark.parametrize(("column", "want"), [
+    (lambda: regex.sub(s("ab ab"), "(?<=a)b", "X"), "aX ab"), (lambda: regex.sub(s("ab ac"), "a(?=c)", "X"), "ab Xc"), (lambda: regex.sub(s("😄ab"), "^", "-"), "-😄ab"), (lambda: regex.sub(s("abc"), "$", "-"), "abc-"),
+    (lambda: regex.sub(s("a1b2"), r"(?<l>[a-z])(?<d>\d)", "${d}\\$${l}$1"), "1$aab2"), (lambda: regex.gsub(s("a1b2"), r"(?<l>[a-z])(?<d>\d)", lambda g: F.concat(g["d"], F.upper(g["l"]))), "1A2B"),
+    (lambda: regex.sub(s("a1b2"), r"(?<l>[a-z])", lambda g: F.upper(g["l"])), "A1b2"), (lambda: regex.gsub(s("xayb"), "(?<v>[ab])", lambda g: F.lit("")), "xy"), (lambda: regex.gsub(s("abc"), "z*", "-", "n"), "abc"), (lambda: regex.sub(s("abzz"), "z*", "-", "n"), "ab-"),
+    (lambda: regex.gsub(s(None), "a", lambda g: F.lit("b")), None), (lambda: regex.gsub(s(""), "^", lambda g: F.lit("b")), "b"),
+    (lambda: regex.capture(s("xyz"), "(?<a>x)(?<n>N)?(?<z>z)?"), ("x", None, None)), (lambda: regex.capture(s("xyz"), "(?<a>x)(?<n>N*)"), ("x", "")), (lambda: regex.capture(s("a"), "(?<a>x)"), None), (lambda: regex.capture(s("x1 y2"), r"(?<l>\w)(?<d>\d)", "g"), [("x", "1"), ("y", "2")]),
+    (lambda: regex.scan(s("a1b2"), "([a-z])([0-9])"), [["a", "1"], ["b", "2"]]), (lambda: regex.scan(s("a1b"), "([a-z])([0-9])?"), [["a", "1"], ["b", None]]), (lambda: regex.scan(s("axb"), "x*", "n"), ["x"]), (lambda: regex.scan(s("a1"), "([a-z])([0-9])", group=2), ["1"]),
+    (lambda: regex.test(s("abc"), "z*", "n"), False), (lambda: regex.test(s("abz"), "z*", "n"), True), (lambda: regex.split_re(s("axxb"), "x*", "n"), ["a", "b"]), (lambda: regex.split_re(s("abc"), "z*", "n"), ["abc"]),
+])
+def test_regex(value, column, want):
+    got = value(column())
+    plain = lambda x: tuple(x) if hasattr(x, "asDict") else [plain(y) for y in x] if isinstance(x, list) else x
+    assert plain(got) == want
+
+
 def test_updates_and_deletions(value):
     doc = F.struct(F.struct(F.lit(1).alias("x"), ints(1, 2, 3).alias("l")).alias("a"), F.lit("q").alias("b"))
     assert value(formats.tojson(objects.setpath(doc, ["a", "l", 4], F.lit(9)))) == '{"a":{"x":1,"l":[1,2,3,null,9]},"b":"q"}'
@@ -119,12 +141,16 @@ def test_collation_is_the_total_order(spark):
     docs = [doc(2) for _ in range(300)]
     import json
 
-    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, d string").select("i", D.collation_key("d").alias("k")).collect()
-    keys = {r["i"]: bytes(r["k"]) for r in rows}
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, d string").select("i", F.dense_rank().over(Window.orderBy(D.order_key(D.parse(F.col("d")), 2))).alias("k")).collect()
+    keys = {r["i"]: r["k"] for r in rows}
     for _ in range(20000):
         i, j = rng.randrange(300), rng.randrange(300)
         c = compare(docs[i], docs[j])
         assert (keys[i] < keys[j]) == (c < 0) and (keys[i] == keys[j]) == (c == 0), (docs[i], docs[j])
+    big = spark.createDataFrame([("9007199254740993",), ("9007199254740992",), ("9007199254740992.0",), ("1.0",), ("1",)], "d string")
+    assert big.select(D.order_key(D.parse(F.col("d"))).alias("k")).distinct().count() == 3
+    with pytest.raises(Exception):
+        spark.range(1).select(D.order_key(D.parse(F.lit("[[1]]")), 0)).collect()
 
 
 def test_levels():
@@ -141,3 +167,66 @@ def test_walk_sorts_fields(value):
     kind = T.StructType().add("b", "integer").add("a", T.ArrayType(T.IntegerType()))
     doc = F.struct(F.lit(1).alias("b"), ints(1, 2).alias("a"))
     assert value(formats.tojson(objects.walk(doc, kind, lambda x, k: x + 1 if isinstance(k, T.IntegerType) else x))) == '{"a":[2,3],"b":2}'
+
+
+def test_order_of_odd_values(spark, value):
+    nan = float("nan")
+    doubles = lambda *x: F.array(*[F.lit(y) for y in x]).cast("array<double>")
+    a = doubles(2.0, nan, None, 1.0, nan)
+    assert str(value(A.sort(a))) == "[None, nan, nan, 1.0, 2.0]" and value(A.maximum(a)) == 2.0 and value(A.minimum(a)) is None and math.isnan(value(A.minimum(doubles(3.0, nan))))
+    assert str(value(A.unique(a))) == "[None, nan, 1.0, 2.0]" and value(A.max_by(doubles(1.0, nan), lambda x: x)) == 1.0 and math.isnan(value(A.min_by(doubles(1.0, nan), lambda x: x)))
+    assert str(value(A.group_by(a, lambda x: x))) == "[[None], [nan, nan], [1.0], [2.0]]" and value(A.group_by(F.array().cast("array<int>"), lambda x: x)) == []
+    rows = spark.createDataFrame([(1, nan), (2, None), (3, 1.0), (4, 2.0), (5, nan)], "i int, x double")
+    assert [r["i"] for r in C.sort_by(rows, "x", "i").collect()] == [2, 1, 5, 3, 4]
+    assert C.max_by(rows, ["x"], ["i"]).first()["i"] == 4 and C.min_by(rows.where("x is not null"), ["x"], ["i"]).first()["i"] == 1
+    assert C.last(rows, "i").first()["i"] == 5 and C.last(rows.where("i > 9"), "i").first()["i"] is None
+    lists = spark.createDataFrame([(1, [1, 2]), (2, None)], "i int, a array<int>")
+    assert C.iterate(lists, F.col("a"), optional=True).count() == 2
+    with pytest.raises(Exception):
+        C.iterate(lists, F.col("a")).collect()
+
+
+def test_running_total_of_several_levels(spark):
+    rows = spark.range(1000).select((F.col("id") * 3).alias("i"), (F.col("id") % 7).alias("v"))
+    got = {r["i"]: r["running"] for r in C.running_total(rows, "i", "v", 5).collect()}
+    total = 0
+    for k in range(1000):
+        total += k % 7
+        assert got[3 * k] == total
+
+
+def test_entries_paths_and_containment(value):
+    pair = lambda **k: F.struct(*[F.lit(v).cast("string").alias(n) for n, v in k.items()])
+    entries = F.array(pair(key="b", Name=None, value="1"), pair(key=None, Name="a", value="2"), pair(key=None, Name="b", value="3"), pair(key="c", Name=None, value=None))
+    assert value(formats.tojson(objects.from_entries(entries, ("key", "name")))) == '{"b":"3","a":"2","c":null}'
+    assert value(formats.tojson(objects.from_entries(F.array(pair(Name="a", Value="2")), ("name",)))) == '{"a":"2"}'
+    with pytest.raises(Exception):
+        value(objects.from_entries(F.array(pair(key=None, value="1"))))
+    assert value(formats.tojson(objects.build((F.concat(F.lit("x"), F.lit("y")), F.lit(1)), ("z", F.lit(2)), ("xy", F.lit(3))))) == '{"xy":3,"z":2}'
+    kind = T.StructType().add("a", "integer").add("b", T.ArrayType(T.StructType().add("c", "string")))
+    doc = F.struct(F.lit(1).alias("a"), F.array(F.struct(s("hello").alias("c")), F.struct(s(None).alias("c"))).alias("b"))
+    assert value(objects.nodes(doc, kind, values=False)) == ["a", "b", "b.0", "b.0.c", "b.1"]
+    assert value(objects.nodes(doc, kind, where=lambda x, k: F.lit(isinstance(k, T.StringType)), values=False)) == ["b.0.c"]
+    part = T.StructType().add("b", T.ArrayType(T.StructType().add("c", "string")))
+    holds = lambda x, k=part: value(A.contains_all(doc, kind, x, k))
+    assert holds(F.struct(F.array(F.struct(s("ell").alias("c"))).alias("b"))) and not holds(F.struct(F.array(F.struct(s("z").alias("c"))).alias("b")))
+    assert not holds(F.struct(F.lit(1).alias("q")), T.StructType().add("q", "integer")) and holds(F.struct(F.lit(1).alias("a")), T.StructType().add("a", "integer"))
+    names = objects.destructure(doc, {"a": "x", "b": ["y", {"c": "z"}]})
+    assert set(names) == {"x", "y", "z"} and value(names["x"]) == 1 and value(names["y"])["c"] == "hello" and value(names["z"]) is None
+    assert value(objects.at(doc, kind, "a")) == 1 and value(objects.at(doc["b"], kind["b"].dataType, F.lit(-2)))["c"] == "hello" and value(objects.at(doc, kind, "none")) is None
+    assert value(objects.at(F.create_map(s("k"), F.lit(1)), T.MapType(T.StringType(), T.IntegerType()), s("k"))) == 1
+    assert value(A.flatten(F.array(F.array(ints(1), ints(2, 3))), kind=T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType()))))) == [1, 2, 3]
+    assert value(formats.formatted("uri", "?q=", s("a b"), "&n=", (F.lit(2.5), "double"))) == "?q=a%20b&n=2.5" and value(formats.formatted("@csv", "x:", (s('a"b'), "string"))) == 'x:"a""b"'
+    assert value(D.try_(s("x").try_cast("double"), F.lit(-1.0))) == -1.0
+
+
+def test_recursion_limits(spark):
+    from rillet.operators import recursion
+
+    before = spark.conf.get("spark.sql.cteRecursionLevelLimit")
+    one = spark.sql("SELECT CAST(1 AS BIGINT) AS v")
+    assert recursion.recurse(one, None, 60, v="nullif(v + 1, 6)").count() == 5
+    assert recursion.until(one, "v >= 1500", 2000, v="v + 1").first()["v"] == 1500
+    with pytest.raises(Exception):
+        recursion.while_(one, "v < 100", 20, v="v + 1").collect()
+    assert spark.conf.get("spark.sql.cteRecursionLevelLimit") == before
