@@ -71,15 +71,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lookup(rows: DataFrame, facts: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
+def lookup(rows: DataFrame, facts: DataFrame, key: list[str], count: str, total: int, how: str | None = None) -> DataFrame:
     """rows left join facts on key, where facts[count] is the number of rows that hold the key.
 
     Keys that hold more than total / HOT_SHARE rows are at most HOT_SHARE, so those facts are broadcast;
     the other keys go through a shuffle join in which no key is large. total must not be less than the
-    number of rows. facts must be cheap to read twice (staged)."""
+    number of rows. facts must be cheap to read twice (staged). how is a join hint for the other keys ("merge": shuffle
+rows and facts whatever the size of facts)."""
     value = [c for c in facts.columns if c not in key]
     hot = facts.where(F.col(count) * HOT_SHARE > total)
     cold = facts.where(F.col(count) * HOT_SHARE <= total)
+    cold = cold.hint(how) if how else cold
     marked = rows.join(F.broadcast(hot.select(*key, F.struct(*value).alias("__hot"))), key, "left")
     done = marked.where(F.col("__hot").isNotNull()).select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in value])
     rest = marked.where(F.col("__hot").isNull()).drop("__hot").join(cold, key, "left").select(*rows.columns, *value)

@@ -12,10 +12,10 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _with_least(rows: DataFrame) -> DataFrame:
-    """rows (u, v) with m, the least of u and its v."""
+def _with_least(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (u, v) with m, the least of u and its v; and the staged table that this reads."""
     least = stage(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n")).withColumn("m", F.least("u", "m")), "components-least")
-    return lookup(rows, least, ["u"], "__n", rows.count())
+    return lookup(rows, least, ["u"], "__n", rows.count()), least
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -29,10 +29,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stage(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "components")
-        small = _with_least(large)
+        with_least, least = _with_least(both)
+        large = stage(with_least.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "components")
+        small, least2 = _with_least(large)
         new = stage(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct(), "components")
-        drop(at, large)
+        drop(at, large, least, least2)
         at, before = new, mark
         mark = _mark(at)
         if mark == before:

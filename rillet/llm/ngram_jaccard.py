@@ -220,9 +220,10 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: in
     several = several.groupBy("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")).agg(F.min("band").alias("band"), F.collect_list(F.struct("chunk", "members")).alias("chunks"))
     blocks = stage(alone.unionByName(several).mapInArrow(_candidates, "key long, lo int, hi int, parts array<struct<pos:int,node:bigint,copies:bigint,pairs:binary>>"), "jaccard-blocks")
     parts = blocks.select("key", "lo", "hi", F.inline("parts"))
-    # the name as one struct is never null, so null identifiers meet too; a hot name is read without a shuffle of its rows
+    # the name as one struct is never null, so null identifiers meet too; a hot name is read without a shuffle of its rows.
+    # The other texts are shuffled at any size, so a small table shows the cost of a large one
     wanted = stage(parts.select("node").distinct().join(reps.select("node", "copies", "name"), "node"), "jaccard-wanted")
-    texts = lookup(base.select(name.alias("name"), "text"), wanted, ["name"], "copies", index.count()).where("node is not null")
+    texts = lookup(base.select(name.alias("name"), "text"), wanted, ["name"], "copies", index.count(), "merge").where("node is not null")
     sets = stage(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(shingle), "node long, set binary"), "jaccard-sets")
     whole = parts.join(sets, "node", "left").groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("pos", "node", "copies", "pairs", "set")).alias("parts"))
     found = stage(whole.select("parts").mapInArrow(_verify, "node long, links long, root long"), "jaccard-links")
