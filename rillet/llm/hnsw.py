@@ -1,12 +1,17 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard, shard results merged.
 
-Vectors are dealt to shards of about SHARD rows by a hash of their identifier, so a shard's size is bounded whatever
-the table's. A shard's graph has levels: each node reaches level l with a chance of 1/M**l; on every level a node is
-joined to the nearest nodes that are nearer to it than to one already chosen, and back. Within a bounded shard the
-nearest nodes are found exactly, so the graph doesn't depend on an order of insertion. It is stored as flat arrays
-(identifiers, vectors, neighbours level by level) in one row a shard, a Parquet table that can be kept and searched
-again. Equal vectors are one node, which keeps all their identifiers. Queries go in blocks of QUERY_BLOCK against each
-shard; a beam of EF nodes is walked for a whole block at a time; what is found is scored again in double precision.
+Vectors are dealt to shards of about `shard` rows by a hash of their identifier, so a shard's size is bounded whatever
+the table's: it should be as large as an executor's memory and BLAS allow, since each query meets each shard once. A shard's
+graph has levels: each node reaches level l with a chance of 1/M**l; on every level a node is joined to the nearest nodes
+that are nearer to it than to one already chosen, and back. Within a bounded shard the nearest nodes are found exactly, so
+the graph doesn't depend on an order of insertion, and building takes time in proportion to the table. It is stored as
+flat arrays (identifiers, vectors, neighbours level by level) in one row a shard, a Parquet table that can be kept and
+searched again. Vectors of equal direction are one node, which keeps all their identifiers; of a vector that is repeated
+no more than k + 1 rows are scored for a query.
+
+Queries go in blocks of `block` against each shard, cogrouped, so a graph is read once for a whole block and what is
+shuffled is the index once a block and each query once a shard. A beam of EF nodes is walked for many queries at a time;
+what is found is scored again in double precision, and only the k best of a shard go on to be merged.
 
 Defined results: rows whose vector is null, zero, or holds null or non-finite components, and rows without identifier,
 take no part; rows that share the query's identifier are not its candidates; vectors are compared only with those of
@@ -23,11 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-SHARD = 4096
+SHARD = 16_384
 M = 16
 NEAREST = 64
-EF = 64
-QUERY_BLOCK = 1024
+EF = 128
+QUERY_BLOCK = 65_536
+#: Queries that walk the graph together.
+TOGETHER = 512
 INDEX = "shard string, dim int, ids binary, node_of binary, vectors binary, entry int, levels array<struct<nodes:binary,links:binary>>"
 
 
@@ -150,8 +157,15 @@ def search(graph: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, ef:
     """(query, identifier, score) of the k nearest of the shard for each query, scored in double precision."""
     scale = np.abs(queries).max(1, keepdims=True)
     q = (queries / scale / np.linalg.norm(queries / scale, axis=1, keepdims=True)).astype(np.float32)
-    found, _ = _beam(graph, q, ef)
-    by_node = np.argsort(graph["node_of"], kind="stable")
+    found = np.concatenate([_beam(graph, q[at : at + TOGETHER], ef)[0] for at in range(0, len(q), TOGETHER)])
+    # rows in order of identifier; of bitwise equal vectors the first k + 1 are enough, as one may be the query's own
+    _, same = np.unique(graph["vectors"], axis=0, return_inverse=True)
+    order = np.argsort(same.reshape(-1), kind="stable")
+    counts = np.bincount(same.reshape(-1))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+    first = np.flatnonzero(rank <= k)
+    by_node = first[np.argsort(graph["node_of"][first], kind="stable")]
     begin = np.searchsorted(graph["node_of"][by_node], np.arange(len(graph["x"]) + 1))
     norms = np.sqrt((graph["vectors"] ** 2).sum(1))
     for i in range(len(q)):
@@ -166,7 +180,7 @@ def search(graph: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, ef:
 
 def _pack(key, table):
     ids = table["id"].to_numpy()
-    vectors = np.array(table["v"].to_pylist(), float)
+    vectors = _matrix(table["v"])
     g = build(ids, vectors)
     levels = [{"nodes": a.tobytes(), "links": b.tobytes()} for a, b in g["levels"]]
     row = {"shard": key[0].as_py(), "dim": vectors.shape[1], "ids": g["ids"].astype(np.int64).tobytes(), "node_of": g["node_of"].tobytes(), "vectors": g["vectors"].tobytes(), "entry": g["entry"], "levels": levels}
@@ -187,16 +201,21 @@ def _unpack(row: dict) -> dict:
     return {"ids": ids, "node_of": node_of, "vectors": vectors, "x": unit[first].astype(np.float32), "entry": row["entry"], "levels": levels}
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _search(k: int, ef: int):
-    def run(batches):
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                graph = _unpack(row)
-                ids = np.array([q["id"] for q in row["queries"]], np.int64)
-                out = list(search(graph, ids, np.array([q["v"] for q in row["queries"]], float), k, ef))
-                if out:
-                    which = np.repeat([o[0] for o in out], [len(o[1]) for o in out])
-                    yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], ["query_id", "vec_id", "score"])
+    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(graphs: pa.Table, queries: pa.Table) -> pa.Table:
+        if not graphs.num_rows or not queries.num_rows:
+            return kinds.empty_table()
+        out = list(search(_unpack(graphs.to_pylist()[0]), queries["id"].to_numpy(), _matrix(queries["v"]), k, ef))
+        if not out:
+            return kinds.empty_table()
+        which = np.repeat([o[0] for o in out], [len(o[1]) for o in out])
+        return pa.table([pa.array(which, pa.int64()), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], kinds)
 
     return run
 
@@ -208,16 +227,15 @@ def index(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", sh
     return rows.withColumn("shard", F.concat_ws("-", "dim", F.pmod(F.xxhash64("id"), F.lit(n)))).groupBy("shard").applyInArrow(_pack, INDEX)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", ef: int = EF, shard: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", ef: int = EF, shard: int = SHARD, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of queries."""
     graphs = stage(index(vectors, vector, key, shard), "hnsw-index")
-    asked = usable(queries, vector, key).dropDuplicates(["id"])
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    block = asked.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    # each block meets each shard of its vector length: rows here are blocks and shards, joined by shard
-    shards = graphs.select("dim", "shard")
-    meet = block.join(shards.groupBy("dim").agg(F.collect_list("shard").alias("shards")), "dim").select("queries", "block", F.explode("shards").alias("shard"))
-    pairs = graphs.join(meet, "shard").repartition(F.col("shard"), F.col("block"))
-    found = pairs.drop("block").mapInArrow(_search(k, ef), "query_id long, vec_id long, score double")
+    n = max(1, -(-vectors.count() // shard))
+    blocks = max(1, -(-queries.count() // block))
+    # each query goes to the n shards of its vector length, each graph to the blocks
+    asked = usable(queries, vector, key).dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    asked = asked.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.concat_ws("-", "dim", "number").alias("shard"), "block", "id", "v")
+    dealt = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(k, ef), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
