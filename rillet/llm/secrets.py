@@ -4,10 +4,10 @@ Base kinds (assign, access, hex) are spans found by pattern alone. The linking a
 of another issuer (id), an opaque string that may be a secret key (key) and an endpoint (endpoint). Each is an
 interval of code points; within a scope of SCOPE code points to either side they are joined with the complementary
 parts, and a weak candidate is reported only if one stands there: a key needs an identifier or an endpoint, an
-identifier a key, an endpoint both an identifier and a key. The interval join is one sweep over a document's
-intervals in order and one back, each step with the nearest part of each role, so it takes time in proportion to
-the candidates, and neither pairs nor a shuffle arise. A weak candidate that lies wholly within a base span is left out;
-one that only overlaps a base span is reported beside it.
+identifier a key, an endpoint both an identifier and a key. The interval join is a sweep over a document's intervals in
+order and one back, which give each the nearest part of each role before and after it; neither pairs nor a shuffle
+arise. Places and sweeps are running sums and maxima by doubling, so n matches take time in proportion to n log n.
+A weak candidate that lies wholly within a base span is left out; one that only overlaps a base span is reported beside it.
 
 Defined results: null text counts as empty and has no spans; rows are kept as they are, repeated or with a null
 identifier; an empty table gives an empty result; other columns are left out by `scan`, kept by `with_spans`.
@@ -33,50 +33,62 @@ SCOPE = 400
 SPAN = "struct<s:int,e:int,k:int>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column, join) -> Column:
+    """For each place of an array, join over all values up to it (join is associative): each round reaches twice as far."""
+    reach = lambda r: F.call_function("shiftleft", F.lit(1), r)
+    step = lambda done, r: F.transform(done, lambda x, i: F.when(i >= reach(r), join(F.get(done, i - reach(r)), x)).otherwise(x))
+    rounds = lambda v: F.when(F.size(v) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(v).cast("double"))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return _let(values, lambda v: F.aggregate(rounds(v), v, step))
+
+
 def _spans(text: Column, pattern: str, kind: int, smallest_group: int = 0) -> Column:
     """Spans of all matches: the texts between matches and the matches themselves take turns, so their lengths give the places."""
-    between = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if smallest_group else matches
-    walked = F.aggregate(
-        F.arrays_zip(between.alias("b"), matches.alias("m"), groups.alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.coalesce(F.char_length(x["b"]), F.lit(0)) + F.coalesce(F.char_length(x["m"]), F.lit(0))).alias("at"),
-            F.when(
-                x["m"].isNotNull() & (F.char_length(x["g"]) >= smallest_group),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + F.char_length(x["b"])).alias("s"), (acc["at"] + F.char_length(x["b"]) + F.char_length(x["m"])).alias("e"), F.lit(kind).alias("k")))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-    )["out"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-
-def _sweep(parts: Column, back: bool) -> Column:
-    """For each interval in order, the furthest end of an identifier, key and endpoint that came before (or, back, the nearest start of those that come after)."""
-    far = F.lit(None).cast("int")
-    role = lambda x: F.when(x["k"].isin(1, 3), 1).when(x["k"].isin(0, 2, 4), 2).when(x["k"] == 5, 3)
-    # in order of start, so going back the last start is the nearest; an end need not be the furthest
-    edge = lambda acc, x: x["s"] if back else F.greatest(acc, x["e"])
-    return F.aggregate(
-        F.reverse(parts) if back else parts,
-        F.struct(far.alias("i"), far.alias("c"), far.alias("p"), F.array().cast(f"array<struct<x:{SPAN},i:int,c:int,p:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.when(role(x) == 1, edge(acc["i"], x)).otherwise(acc["i"]).alias("i"),
-            F.when(role(x) == 2, edge(acc["c"], x)).otherwise(acc["c"]).alias("c"),
-            F.when(role(x) == 3, edge(acc["p"], x)).otherwise(acc["p"]).alias("p"),
-            F.concat(acc["out"], F.array(F.struct(x.alias("x"), acc["i"].alias("i"), acc["c"].alias("c"), acc["p"].alias("p")))).alias("out"),
-        ),
-    )["out"]
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if smallest_group else F.lit(None)
+    size = lambda x: F.transform(x, F.char_length)
+    found = F.struct(size(F.split(text, pattern, -1)).alias("b"), size(matches).alias("m"), size(groups).alias("g") if smallest_group else groups.alias("g"))
+
+    def placed(f: Column) -> Column:
+        ends = _running(F.zip_with(F.slice(f["b"], 1, F.size(f["m"])), f["m"], lambda b, m: b + m), lambda x, y: x + y)
+        spans = F.zip_with(ends, f["m"], lambda e, m: F.struct((e - m).alias("s"), e.alias("e"), F.lit(kind).alias("k")))
+        if not smallest_group:
+            return spans
+        return F.transform(F.filter(F.arrays_zip(spans.alias("x"), f["g"].alias("g")), lambda y: y["g"] >= smallest_group), lambda y: y["x"])
+
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(found, placed).cast(f"array<{SPAN}>")).otherwise(none)
+
+
+def _ends(x: Column) -> Column:
+    """The end of an interval under its role: an identifier, key, endpoint, and under b if it is a base span."""
+    role = lambda *kinds: F.when(x["k"].isin(*kinds), x["e"])
+    return F.struct(role(1, 3).alias("i"), role(0, 2, 4).alias("c"), role(5).alias("p"), role(*range(BASE)).alias("b"))
+
+
+def _starts(x: Column) -> Column:
+    role = lambda *kinds: F.when(x["k"].isin(*kinds), x["s"])
+    return F.struct(role(1, 3).alias("i"), role(0, 2, 4).alias("c"), role(5).alias("p"))
 
 
 def _linked(parts: Column) -> Column:
-    """The weak candidates whose complementary parts stand in their scope."""
-    before, after = _sweep(parts, False), F.reverse(_sweep(parts, True))
-    near = lambda y, c: F.coalesce(y["a"]["x"]["s"] - y["a"][c] <= SCOPE, F.lit(False)) | F.coalesce(y["b"][c] - y["a"]["x"]["e"] <= SCOPE, F.lit(False))
-    kind = lambda y: y["a"]["x"]["k"]
-    keep = lambda y: ((kind(y) == 3) & near(y, "c")) | ((kind(y) == 4) & (near(y, "i") | near(y, "p"))) | ((kind(y) == 5) & near(y, "i") & near(y, "c"))
-    return F.transform(F.filter(F.arrays_zip(before.alias("a"), after.alias("b")), keep), lambda y: y["a"]["x"])
+    """Of intervals in order of start and kind the weak ones whose complementary parts stand in their scope, and that no base span covers."""
+    nothing = F.lit(None).cast("struct<i:int,c:int,p:int,b:int>")
+    furthest = _running(F.transform(parts, _ends), lambda a, x: F.struct(*[F.greatest(a[f], x[f]).alias(f) for f in "icpb"]))
+    nearest = F.reverse(_running(F.transform(F.reverse(parts), _starts), lambda a, x: F.struct(*[F.least(a[f], x[f]).alias(f) for f in "icp"])))
+
+    def keep(y: Column) -> Column:
+        x, before, after = y["x"], y["before"], y["after"]
+        near = lambda f: F.coalesce(x["s"] - before[f] <= SCOPE, F.lit(False)) | F.coalesce(after[f] - x["e"] <= SCOPE, F.lit(False))
+        paired = ((x["k"] == 3) & near("c")) | ((x["k"] == 4) & (near("i") | near("p"))) | ((x["k"] == 5) & near("i") & near("c"))
+        return x.isNotNull() & paired & ~F.coalesce(before["b"] >= x["e"], F.lit(False))  # base spans that start where a weak one does come before it
+
+    zipped = F.arrays_zip(parts.alias("x"), F.concat(F.array(nothing), furthest).alias("before"), F.slice(nearest, 2, F.size(parts)).alias("after"))
+    return F.transform(F.filter(zipped, keep), lambda y: y["x"])
 
 
 def _text_of(spans: Column) -> Column:
@@ -95,9 +107,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     found = found.withColumn("__base", order(F.concat("__assign", "__access", "__hex")))
     found = found.withColumn("__parts", order(F.concat("__base", "__weak")))
     weak = F.when(F.size("__weak") > 0, _linked(F.col("__parts"))).otherwise(F.array().cast(f"array<{SPAN}>"))
-    # a weak span that a base span covers says nothing new
-    fresh = F.filter(weak, lambda w: ~F.exists(F.col("__base"), lambda b: (b["s"] <= w["s"]) & (w["e"] <= b["e"])))
-    return found.withColumn("__spans", order(F.concat("__base", fresh)))
+    return found.withColumn("__spans", order(F.concat("__base", weak)))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
