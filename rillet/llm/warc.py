@@ -1,7 +1,8 @@
 """WARC: a deterministic sharded writer, and a reader.
 
 Writing: records are sorted by page identifier and cut into ranges at splitters taken from a hashed sample of bounded
-size per shard, so shard limits don't depend on how the input is partitioned. A task writes its shards in order, each
+size per shard, so shard limits don't depend on how the input is partitioned; an identifier that fills several ranges
+(null, say) is dealt among them in order of digest. A task writes its shards in order, each
 record as a gzip member of its own, and starts a new file when the compressed size of the present one reaches
 ROLL_BYTES. Headers and digests are made anew from the payload. A file is written under a temporary name and renamed
 when whole; its name and contents depend on the records alone, so a repeated task writes the same again. The manifest,
@@ -23,9 +24,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +38,10 @@ from .common import lookup, new_path, partitions, stage
 
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 8 << 20
-#: With more shards than that, shards grow instead; the splitters' sample, SAMPLES a shard, so stays under 17 MB.
+#: With more shards than that, shards grow instead; the splitters' sample, SAMPLES a shard, so stays under 10 MB.
 MOST_SHARDS = 65_536
-SAMPLES = 32
+SAMPLES = 16
+NULL_ID = 2**63 - 1
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, records long, bytes long, sha256 string"
@@ -69,7 +73,7 @@ def _member(row: dict) -> bytes:
     name = "null" if row["id"] is None else row["id"]
     head = ["WARC/1.1", f"WARC-Type: {row['type']}", f"WARC-Record-ID: <urn:x-page:{name}>", f"WARC-Date: {DATE}"]
     if row["url"] is not None:
-        head.append("WARC-Target-URI: " + "".join(row["url"].split()))
+        head.append("WARC-Target-URI: " + "".join(quote(c) if c.isspace() else c for c in row["url"]))
     head.append("Content-Type: application/http; msgtype=response")
     head.append(f"WARC-Payload-Digest: sha1:{row['digest']}")
     head.append("WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode())
@@ -132,15 +136,21 @@ def write(rows: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, roll_bytes:
     spark = rows.sparkSession
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     shards = max(1, min(n, MOST_SHARDS, -(-size // shard_bytes)))
-    # splitters: of the identifiers with the smallest hashes, SAMPLES a shard
-    chosen = rows.where("id is not null").select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLES * shards)
-    ids = sorted(r[0] for r in chosen.collect())
-    cuts = np.array([ids[len(ids) * i // shards] for i in range(1, shards)] if ids else [], np.int64)
+    # splitters: identifiers of the pages with the smallest hashes, some SAMPLES a shard; rows repeated whole count once
+    page = F.coalesce("id", F.lit(NULL_ID)).alias("id")
+    least = F.shiftrightunsigned(F.xxhash64("id", "digest"), 33).cast("double") / float(1 << 31) <= SAMPLES * shards / max(n, 1)
+    ids = np.sort(rows.where(least).select(page, "digest").distinct().select("id").toArrow()["id"].to_numpy())
+    cuts = np.array([ids[len(ids) * i // shards] for i in range(1, shards)] if len(ids) else [], np.int64)
+    digits = np.zeros(256, np.int64)
+    digits[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", np.uint8)] = np.arange(32)
 
     def shard_of(batches):
         for batch in batches:
-            at = batch.column("id").fill_null(2**63 - 1).to_numpy(zero_copy_only=False)
-            yield batch.append_column("shard", pa.array(np.searchsorted(cuts, at, "right").astype(np.int32)))
+            at = batch.column("id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(cuts, at, "left"), np.searchsorted(cuts, at, "right")
+            lead = np.array(pc.utf8_slice_codeunits(batch.column("digest"), 0, 4).to_pylist(), "S4").view(np.uint8).reshape(-1, 4)
+            share = (digits[lead] * [32**3, 32**2, 32, 1]).sum(1) * (high - low + 1) // 32**4
+            yield batch.append_column("shard", pa.array((low + share).astype(np.int32)))
 
     kinds = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType())])
     order = ["shard", F.col("id").asc_nulls_last(), "digest", "url"]

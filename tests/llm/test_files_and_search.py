@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import zlib
 from pathlib import Path
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillet.llm import hnsw, piece_sampling, token_store, warc
+from rillet.llm import hnsw, piece_sampling, token_store, warc, words
 from rillet.llm.common import new_path
 
 from .data import SCHEMA, documents, frame
@@ -64,6 +65,19 @@ def test_warc_files_are_deterministic_roll_and_are_listed(spark):
         warc.read(spark, uri).collect()
 
 
+def test_warc_deals_hot_identifiers_among_shards(spark):
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(5)).otherwise(F.col("id")).cast("long").alias("page_id"), F.lit("http://h/a b").alias("url"), F.concat(F.lit("page "), F.col("id")).alias("html"))
+    uri = new_path(spark, "warc-test")
+    manifest = warc.write(warc.records(rows), uri, shard_bytes=800, roll_bytes=1 << 20).collect()
+    assert sum(m["records"] for m in manifest) == 900 and max(m["records"] for m in manifest) < 400 and len(manifest) > 6
+    folder = Path(uri.removeprefix("file://"))
+    seen = [x for m in sorted(m["file"] for m in manifest) for x in gzip.decompress((folder / m).read_bytes()).decode().split("\r\n") if x.startswith("WARC-Record-ID")]
+    number = lambda x: 2**63 if "null" in x else int(x.rsplit(":", 1)[1][:-1])
+    assert [number(x) for x in seen] == sorted(number(x) for x in seen)
+    got = warc.read(spark, uri)
+    assert got.count() == 900 and {r["url"] for r in got.select("url").distinct().collect()} == {"http://h/a%20b"}
+
+
 def test_token_store(spark):
     from tokenizers import Tokenizer
 
@@ -104,17 +118,43 @@ def test_chunks_are_stored_once_and_faults_are_found(spark):
         token_store.read(spark, uri, path)
 
 
+def test_pieces_are_those_of_the_tokenizer(monkeypatch):
+    """Random texts, as a whole, with forgetting, and with hashes that collide, against the plain tokenizer."""
+    path = tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(3)
+    pool = [*"ab'strevldm'' \n\t 12.,!é中ß \x85\x1c\u200b\u0663²😄", "'s", "'re", "<|endoftext|>", "\u1c89", "'ll", "don't ", "  "]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    plain = token_store.Encoder(path)
+    want = [plain.plain(t).tolist() for t in texts]
+
+    def check():
+        enc = token_store.Encoder(path)
+        for at in range(0, len(texts), 500):
+            ids, offsets = enc.encode(texts[at : at + 500])
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want[at : at + 500]
+
+    check()
+    monkeypatch.setattr(token_store, "REMEMBERED", 700)
+    check()
+    monkeypatch.setattr(words, "mix", lambda x: x % np.uint64(61))
+    check()
+
+
+def chunk_ends(ids, gears):
+    return token_store.chunk_ends(token_store.rolling(ids, gears).tolist(), len(ids))
+
+
 def test_chunk_ends():
     gears = token_store._gears()
     rng = np.random.default_rng(1)
     x = rng.integers(0, 50000, 40000).astype(np.uint16)
-    ends = token_store.chunk_ends(x, gears)
+    ends = chunk_ends(x, gears)
     sizes = np.diff([0, *ends])
     assert ends[-1] == len(x) and sizes.max() <= token_store.MOST and sizes[:-1].min() >= token_store.LEAST
     y = np.concatenate([x[:100], x])  # the same stream later on is cut at the same places again
-    assert len(set((np.array(token_store.chunk_ends(y, gears)) - 100).tolist()) & set(ends)) > len(ends) // 2
-    assert token_store.chunk_ends(x[:0], gears) == [] and token_store.chunk_ends(x[:5], gears) == [5]
-    assert token_store.chunk_ends(np.zeros(50000, np.uint16), gears)[-1] == 50000
+    assert len(set((np.array(chunk_ends(y, gears)) - 100).tolist()) & set(ends)) > len(ends) // 2
+    assert chunk_ends(x[:0], gears) == [] and chunk_ends(x[:5], gears) == [5]
+    assert chunk_ends(np.zeros(50000, np.uint16), gears)[-1] == 50000
 
 
 def test_pieces_round_trip_and_repeat(spark):
@@ -151,7 +191,8 @@ def test_sampling_follows_the_lattice():
     every = dict(paths("▁then"))
     n = 20000
     drawn = {}
-    for ids in m.sample(["then"] * n, np.arange(n).astype(np.uint64)):
+    flat, offsets = m.sample(["then"] * n, np.arange(n).astype(np.uint64))
+    for ids in np.split(flat, offsets[1:-1]):
         k = tuple(sp.id_to_piece(int(i)) for i in ids)
         drawn[k] = drawn.get(k, 0) + 1
     assert set(drawn) <= set(every)
@@ -160,6 +201,21 @@ def test_sampling_follows_the_lattice():
         assert abs(drawn.get(k, 0) / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-3
 
 
+def test_draws_do_not_depend_on_what_was_met_before(monkeypatch):
+    path = tokenizers.path("piece_bpe_32k.model")
+    texts = [r[1] or "" for r in documents()]
+    keys = np.arange(len(texts)).astype(np.uint64)
+    m = piece_sampling.PieceModel(path)
+    ids, offsets = m.sample(texts, keys)
+    whole = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    monkeypatch.setattr(piece_sampling, "REMEMBERED", 300)
+    m.clear()
+    for i in reversed(range(len(texts))):
+        ids, offsets = m.sample(["other words " * (i % 3), texts[i]], np.array([7, i], np.uint64))
+        assert ids[offsets[1] :].tolist() == whole[i]
+        assert m.decode(ids[offsets[1] :]).decode()[1:] == texts[i]
+
+
 def vectors(n=3000, dim=16, seed=2):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(40, dim))
