@@ -57,3 +57,22 @@ def test_stages(spark, folder):
 def test_run_repeats_itself(spark, folder):
     key = lambda: sorted((r["doc_id"], tuple(r["pieces"])) for r in corpus_pipeline.run(spark, folder).collect())
     assert key() == key()
+
+
+def test_stages_on_odd_tables(spark, folder, tmp_path):
+    """Null identifiers, rows repeated whole, extra columns with clashing names; and tables without rows."""
+    rows = documents(4)
+    extra = "row string, sha string, size long, id long, kept boolean, node long, __id long, n_pieces int"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + extra
+    spark.createDataFrame([(*r[:5], "r", None, 5, 7, True, 1, 2, 3) for r in rows], schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([(r[0], r[0] % 2, None) for r in rows if r[0] is not None], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    for name in ("odd", "none"):
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        columns, texts = docs.columns, {r["text"] for r in docs.collect()}
+        for stage, f in corpus_pipeline.STAGES:
+            docs = common.stage(f(spark, docs, f"{tmp_path}/{name}"), "test")
+            if stage != "encode":
+                assert docs.columns == columns and {r["text"] for r in docs.collect()} <= texts
+        assert (docs.count() > 0) == (name == "odd")
