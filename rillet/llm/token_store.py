@@ -54,7 +54,7 @@ def _classes() -> np.ndarray:
     import unicodedata
 
     first = {"L": LETTER, "N": DIGIT}
-    out = np.array([UNKNOWN if k == "Cn" else first.get(k[0], SIGN) for k in map(unicodedata.category, map(chr, range(0x110000)))], np.uint8)
+    out = np.fromiter((UNKNOWN if k == "Cn" else first.get(k[0], SIGN) for k in map(unicodedata.category, map(chr, range(0x110000)))), np.uint8, 0x110000)
     out[WHITE] = BLANK
     return out
 
@@ -92,13 +92,13 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        t = self.tokenizer
+        vocabulary = t.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
-        rules = json.loads(self.tokenizer.to_str())
-        self.added = [t["content"] for t in rules["added_tokens"]]
-        cut = rules["pre_tokenizer"] or {}
-        last = (rules["post_processor"] or {}).get("type", "ByteLevel")
-        self.by_piece = (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space"), last, rules["normalizer"], rules["truncation"], rules["model"]["type"], rules["model"].get("dropout")) == ("ByteLevel", True, False, "ByteLevel", None, None, "BPE", None)
+        self.added = [a.content for a in t.get_added_tokens_decoder().values()]
+        cut = json.loads(t.pre_tokenizer.__getstate__()) if t.pre_tokenizer else {}
+        by_byte = (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) == ("ByteLevel", True, False) and (t.post_processor is None or type(t.post_processor).__name__ == "ByteLevel")
+        self.by_piece = by_byte and t.normalizer is None and t.truncation is None and type(t.model).__name__ == "BPE" and t.model.dropout is None
         if not self.by_piece:
             return
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)

@@ -224,7 +224,7 @@ class Known:
         return out
 
 
-def groups_of(lengths: list[int], most: int = 1 << 20):
+def groups_of(lengths: list[int], most: int = 1 << 18):
     """Ranges of texts of at most `most` characters together, or of one text."""
     at, held = 0, 0
     for i, n in enumerate(lengths):
