@@ -58,7 +58,39 @@ def record(name: str, table_name: str, sql: str, **columns) -> None:
 
 # projection, iteration, construction
 
-record("field_access", "events", "SELECT event_id, user_id FROM events", event_id=lambda: col("event_id"), user_id=lambda: col("user_id"))
+EVENT = T.StructType().add("user_id", "long").add("event_type", "string")
+
+
+def _event():
+    return F.struct("user_id", "event_type", F.struct(F.col("value").alias("amount")).alias("inner"))
+
+
+record("field_access", "events", "SELECT event_id, user_id, value AS amount, CAST(NULL AS VARCHAR) AS missing FROM events",
+       event_id=lambda: col("event_id"), user_id=lambda: objects.getpath(_event(), ["user_id"]), amount=lambda: objects.getpath(_event(), ["inner", "amount"]), missing=lambda: objects.at(_event(), EVENT, "none").cast("string"))
+record("computed_key", "events", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE role END AS v FROM (SELECT *, 'user ' || user_id AS role FROM events)",
+       event_id=lambda: col("event_id"), v=lambda: objects.at(F.struct("event_type", F.concat(F.lit("user "), col("user_id")).alias("role")), T.StructType().add("event_type", "string").add("role", "string"), F.when(col("event_id") % 2 == 0, "event_type").otherwise("role")))
+record("computed_object", "nation", """SELECT n_nationkey, '{"' || n_name || '":' || n_regionkey || ',"id":' || n_nationkey || '}' AS doc FROM nation""",
+       n_nationkey=lambda: col("n_nationkey"), doc=lambda: formats.tojson(objects.build((col("n_name"), col("n_regionkey").cast("long")), ("id", col("n_nationkey").cast("long")))))
+record("format_interpolation", "part", "SELECT p_partkey, 'q=' || replace(p_name, ' ', '%20') || '&size=' || p_size AS v FROM part",
+       p_partkey=lambda: col("p_partkey"), v=lambda: formats.formatted("@uri", "q=", col("p_name"), "&size=", (col("p_size"), "int")))
+record("contains_nested", "part", "SELECT p_partkey, contains(p_name, 'e') AND p_size > 25 AS v FROM part",
+       p_partkey=lambda: col("p_partkey"), v=lambda: A.contains_all(F.struct(F.array(F.struct("p_name")).alias("a"), (col("p_size") > 25).alias("big")), T.StructType().add("a", T.ArrayType(T.StructType().add("p_name", "string"))).add("big", "boolean"),
+           F.struct(F.array(F.struct(F.lit("e").alias("p_name"))).alias("a"), F.lit(True).alias("big")), T.StructType().add("a", T.ArrayType(T.StructType().add("p_name", "string"))).add("big", "boolean")))
+record("from_entries_names", "part", "SELECT p_partkey, p_brand AS b, p_type AS t FROM part", p_partkey=lambda: col("p_partkey"),
+       b=lambda: F.try_element_at(_named(), F.lit("brand")), t=lambda: F.try_element_at(_named(), F.lit("type")))
+record("flatten_all", "embeddings", "SELECT vec_id, CAST(8 AS INTEGER) AS n, CAST(list_sum(embedding[1:8]) AS DOUBLE) AS total FROM embeddings", vec_id=lambda: col("vec_id"),
+       n=lambda: F.size(_flat()), total=lambda: A.add(_flat()))
+
+
+def _named():
+    return objects.from_entries(F.array(F.struct(F.lit("brand").alias("Name"), col("p_brand").alias("Value")), F.struct(F.lit("type").alias("Name"), col("p_type").alias("Value"))), ("name",), ("value",))
+
+
+def _flat():
+    nested = F.array(A.nwise(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 8), 3))
+    return A.flatten(nested, kind=T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
+
+
 record("index_neg", "embeddings", "SELECT vec_id, CAST(embedding[-1] AS DOUBLE) AS last, CAST(embedding[3] AS DOUBLE) AS third, CAST(NULL AS DOUBLE) AS beyond FROM embeddings",
        vec_id=lambda: col("vec_id"), last=lambda: A.index(col("embedding"), -1).cast("double"), third=lambda: A.index(col("embedding"), 2).cast("double"), beyond=lambda: A.index(col("embedding"), 64).cast("double"))
 record("slice", "embeddings", "SELECT vec_id, CAST(list_sum(embedding[3:5]) AS DOUBLE) AS inner_sum, CAST(len(embedding[63:64]) AS INTEGER) AS tail FROM embeddings",
@@ -71,17 +103,24 @@ record("tojson", "nation", """SELECT n_nationkey, '{"n_name":"' || n_name || '",
        n_nationkey=lambda: col("n_nationkey"), doc=lambda: formats.tojson(F.struct("n_name", "n_regionkey")))
 record("interpolation", "nation", "SELECT n_nationkey, n_name || '-' || n_regionkey AS s FROM nation",
        n_nationkey=lambda: col("n_nationkey"), s=lambda: strings.interpolate(col("n_name"), "-", col("n_regionkey")))
-record("concat_plus", "part", "SELECT p_partkey, p_brand || p_type AS s FROM part", p_partkey=lambda: col("p_partkey"), s=lambda: F.concat("p_brand", "p_type"))
+record("concat_plus", "part", "SELECT p_partkey, p_brand || p_type AS s FROM part", p_partkey=lambda: col("p_partkey"), s=lambda: strings.interpolate(col("p_brand"), col("p_type")))
 record("object_construct", "orders", "SELECT o_orderkey, o_orderstatus AS status, o_totalprice AS price FROM orders",
        o_orderkey=lambda: col("o_orderkey"), status=lambda: col("o_orderstatus"), price=lambda: col("o_totalprice"))
 record("bind_destructure", "events", "SELECT event_id, user_id AS u, event_type AS t, CAST(NULL AS VARCHAR) AS missing FROM events",
-       event_id=lambda: col("event_id"), u=lambda: F.struct("user_id", "event_type")["user_id"], t=lambda: F.struct("user_id", "event_type")["event_type"], missing=lambda: F.lit(None).cast("string"))
+       event_id=lambda: col("event_id"), u=lambda: _bound()["u"].cast("long"), t=lambda: _bound()["t"], missing=lambda: _bound()["missing"])
+
+
+def _bound():
+    """as {pair: [$u, $t, $missing]}"""
+    return objects.destructure(F.struct(F.array(col("user_id").cast("string"), "event_type").alias("pair")), {"pair": ["u", "t", "missing"]})
+
+
 record("alternative", "events", "SELECT event_id, CASE WHEN event_type = 'view' THEN event_type ELSE 'none' END AS t FROM events",
        event_id=lambda: col("event_id"), t=lambda: D.alternative(F.when(col("event_type") == "view", col("event_type")), F.lit("none")))
 record("if_elif", "orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders",
        o_orderkey=lambda: col("o_orderkey"), band=lambda: F.when(col("o_totalprice") > 300000, "high").when(col("o_totalprice") > 100000, "mid").otherwise("low"))
-record("try_catch", "part", "SELECT p_partkey, coalesce(CAST(TRY_CAST(p_size AS DOUBLE) AS VARCHAR), 'bad') <> 'bad' AS size_ok, TRY_CAST(p_name AS DOUBLE) IS NOT NULL AS name_ok FROM part",
-       p_partkey=lambda: col("p_partkey"), size_ok=lambda: col("p_size").cast("string").try_cast("double").isNotNull(), name_ok=lambda: col("p_name").try_cast("double").isNotNull())
+record("try_catch", "part", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, CAST(-len(p_name) AS DOUBLE) AS other FROM part",
+       p_partkey=lambda: col("p_partkey"), size=lambda: D.try_(col("p_size").cast("string").try_cast("double"), F.lit(-1.0)), other=lambda: D.try_(col("p_name").try_cast("double"), -F.char_length("p_name").cast("double")))
 record("optional_json", "part", "SELECT p_partkey, CAST(TRY_CAST(p_size AS BIGINT) AS BIGINT) AS n FROM part",
        p_partkey=lambda: col("p_partkey"), n=lambda: D.get(D.try_parse(col("p_size").cast("string")), "$", "bigint"))
 record("error_null", "region", "SELECT r_regionkey, CAST(NULL AS VARCHAR) AS e FROM region", r_regionkey=lambda: col("r_regionkey"), e=lambda: D.error(F.lit(None).cast("string")).cast("string"))
@@ -128,8 +167,8 @@ def line(name: str, sql: str, value) -> None:
 
 
 line("arith_add", "l_extendedprice + l_tax", lambda: numbers.add(col("l_extendedprice"), col("l_tax")))
-line("arith_sub", "l_extendedprice - l_discount", lambda: col("l_extendedprice") - col("l_discount"))
-line("arith_mul", "l_extendedprice * (1 - l_discount)", lambda: col("l_extendedprice") * (1 - col("l_discount")))
+line("arith_sub", "CAST(l_orderkey AS BIGINT) - CAST(l_partkey AS BIGINT)", lambda: numbers.subtract_long(col("l_orderkey").cast("long"), col("l_partkey").cast("long")))
+line("arith_mul", "CAST(l_orderkey AS BIGINT) * CAST(l_linenumber AS BIGINT)", lambda: numbers.multiply_long(col("l_orderkey").cast("long"), col("l_linenumber").cast("long")))
 line("arith_div", "l_extendedprice / l_quantity", lambda: numbers.divide(col("l_extendedprice"), col("l_quantity")))
 line("arith_mod", "CAST(trunc(l_extendedprice) AS BIGINT) % CAST(7 AS BIGINT)", lambda: numbers.modulo(col("l_extendedprice"), F.lit(7)))
 line("arith_neg", "-l_quantity", lambda: numbers.negate(col("l_quantity")))
