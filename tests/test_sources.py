@@ -93,3 +93,26 @@ def test_plans(spark):
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,view)]" in text
     assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double>" in text
     assert "partial_sum" in text and "TakeOrderedAndProject" in text and text.count("Exchange hashpartitioning") == 1
+
+
+def test_module_search_metadata_and_chains(spark, tmp_path):
+    import json
+
+    f = lambda body: {"functions": {"f": {"args": {"x": "double"}, "returns": "double", "body": body}}}
+    (tmp_path / "app" / "lib").mkdir(parents=True)
+    (tmp_path / "app" / "main.json").write_text(json.dumps({"metadata": {"version": 2}, "imports": [{"path": "own", "search": "./lib"}, "shared"], "functions": {}}))
+    (tmp_path / "app" / "lib" / "own.json").write_text(json.dumps(f("x * 10")))
+    (tmp_path / "own.json").write_text(json.dumps(f("x * 99")))
+    loader = modules.Loader(str(tmp_path / "app"), str(tmp_path), then=modules.Loader(given={"shared": {"functions": {"g": {"args": {"x": "double"}, "returns": "double", "body": "x + 1"}}}}))
+    assert loader.metadata("main") == {"version": 2, "deps": ["own", "shared"]}
+    assert set(loader.load("main")) == {"f", "g"} and loader.load("main")["f"]["body"] == "x * 10" and loader.load("own")["f"]["body"] == "x * 99"
+    assert modules.include(spark, loader, "main") == ["f", "g"] and spark.sql("SELECT f(g(1))").first()[0] == 20.0
+    with pytest.raises(modules.ModuleError):
+        loader.load("missing")
+
+
+def test_large_files_of_values_are_refused(spark, tmp_path):
+    (tmp_path / "v.json").write_text("[1,\n2] 3 " * 10)
+    assert json_io.read_values(spark, str(tmp_path / "v.json")).count() == 20
+    with pytest.raises(Exception, match="too large"):
+        json_io.read_values(spark, str(tmp_path / "v.json"), largest=20).collect()
