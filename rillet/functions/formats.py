@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .numbers import number_text
 from .registry import builtin
@@ -76,6 +79,27 @@ def tojson(x: Column) -> Column:
     return F.to_json(x, {"ignoreNullFields": "false"})
 
 
+def json_text(x: Column, kind: T.DataType) -> Column:
+    """A value of a known type as compact JSON with the language's numbers: whole ones without fraction, NaN as null, infinities as the largest doubles."""
+    if isinstance(kind, T.StructType):
+        fields = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), json_text(x[f.name], f.dataType)) for f in kind]
+        shown = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        shown = F.concat(F.lit("["), F.array_join(F.transform(x, lambda y: json_text(y, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(x), lambda e: F.concat(json_text(e["key"].cast("string"), T.StringType()), F.lit(":"), json_text(e["value"], kind.valueType)))
+        shown = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    elif isinstance(kind, T.BooleanType):
+        shown = x.cast("string")
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        shown = number_text(x)
+    elif isinstance(kind, T.NumericType):
+        shown = x.cast("string")
+    else:
+        shown = F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    return F.when(x.isNull(), F.lit("null")).otherwise(F.coalesce(shown, F.lit("null")))
+
+
 @builtin("fromjson/0")
 def fromjson(s: Column, schema: str) -> Column:
     """JSON text by a schema; text that is not JSON is an error."""

@@ -101,6 +101,9 @@ record("fromjson", "events", "SELECT event_id, CAST(json_extract(props, '$.k') A
        event_id=lambda: col("event_id"), k=lambda: formats.fromjson(col("props"), "k bigint")["k"])
 record("tojson", "nation", """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS doc FROM nation""",
        n_nationkey=lambda: col("n_nationkey"), doc=lambda: formats.tojson(F.struct("n_name", "n_regionkey")))
+record("json_numbers", "part", """SELECT p_partkey, '{"whole":' || p_size || ',"half":' || p_size || '.5,"none":null,"big":1.7976931348623157e+308,"list":[' || p_size || ',null],"name":"' || p_name || '","ok":true}' AS doc FROM part""",
+       p_partkey=lambda: col("p_partkey"), doc=lambda: formats.json_text(F.struct(col("p_size").cast("double").alias("whole"), (col("p_size") + F.lit(0.5)).alias("half"), numbers.nan().alias("none"), numbers.infinite().alias("big"),
+           F.array(col("p_size").cast("double"), F.lit(None)).alias("list"), col("p_name").alias("name"), F.lit(True).alias("ok")), T.StructType().add("whole", "double").add("half", "double").add("none", "double").add("big", "double").add("list", T.ArrayType(T.DoubleType())).add("name", "string").add("ok", "boolean")))
 record("interpolation", "nation", "SELECT n_nationkey, n_name || '-' || n_regionkey AS s FROM nation",
        n_nationkey=lambda: col("n_nationkey"), s=lambda: strings.interpolate(col("n_name"), "-", col("n_regionkey")))
 record("concat_plus", "part", "SELECT p_partkey, p_brand || p_type AS s FROM part", p_partkey=lambda: col("p_partkey"), s=lambda: strings.interpolate(col("p_brand"), col("p_type")))

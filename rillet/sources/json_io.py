@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formats import json_text
+
 
 def _values(batches):
     """The top-level JSON values of each text, one a row."""
@@ -71,9 +73,11 @@ def pretty(row: Column) -> Column:
 
 
 def write_json(df: DataFrame, path: str, style: str = "compact") -> None:
-    """One document a row: compact or pretty; raw writes the strings of a single column as they are."""
+    """One document a row: compact, with the language's numbers, or pretty; raw writes the strings of a single column as they are."""
     if style == "raw":
         out = df.select(F.col(df.columns[0]).cast("string").alias("value"))
+    elif style == "pretty":
+        out = df.select(pretty(F.struct("*")).alias("value"))
     else:
-        out = df.select((pretty if style == "pretty" else compact)(F.struct("*")).alias("value"))
+        out = df.select(json_text(F.struct("*"), df.schema).alias("value"))
     out.write.mode("overwrite").text(path)
