@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ SPACE = "▁"
 BASE = 0xC2B2AE3D27D4EB4F
 BYTE_WEIGHT = -10.0
 #: Distinct units that a worker remembers; beyond that it forgets those met only once.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 #: Smoothing: below 1, likely and unlikely segmentations come nearer.
 ALPHA = 0.2
 LITERAL = 0x110000  # stands for a space symbol that was in the text
@@ -251,11 +252,11 @@ def _run(path: str, alpha: float, digest: bool):
     def run(batches):
         pieces = model(path, alpha)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             seeds = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
-            for low, high in groups_of([len(t) for t in texts]):
+            for low, high in groups_of(pc.utf8_length(batch.column("text")).fill_null(0).to_pylist()):
+                texts = [t or "" for t in batch.column("text").slice(low, high - low).to_pylist()]
                 row = batch.column("row").slice(low, high - low)
-                ids, offsets = pieces.sample(texts[low:high], seeds[low:high])
+                ids, offsets = pieces.sample(texts, seeds[low:high])
                 n = pa.array(np.diff(offsets), pa.int32())
                 if not digest:
                     yield pa.RecordBatch.from_arrays([row, n, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["row", "n_pieces", "pieces"])
@@ -263,7 +264,7 @@ def _run(path: str, alpha: float, digest: bool):
                 same, crc = [], []
                 raw, decoded = memoryview(ids.astype("<u4").tobytes()), memoryview(pieces.decode(ids))
                 bytes_to = np.append(0, np.cumsum(pieces.n_bytes[ids]))[offsets].tolist()
-                for a, b, x, y, t in zip(offsets.tolist(), offsets[1:].tolist(), bytes_to, bytes_to[1:], texts[low:high]):
+                for a, b, x, y, t in zip(offsets.tolist(), offsets[1:].tolist(), bytes_to, bytes_to[1:], texts):
                     same.append(decoded[x + 1 : y] == t.encode() if t else a == b)
                     crc.append(zlib.crc32(raw[4 * a : 4 * b]))
                 yield pa.RecordBatch.from_arrays([row, n, pa.array(crc, pa.int64()), pa.array(same)], ["row", "n_pieces", "pieces_crc32", "lossless"])

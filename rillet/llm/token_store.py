@@ -29,6 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from .words import Growing, Known, code_points, groups_of, mix, spread
 #: Chunks have 2**AVERAGE ids on average, LEAST at least and MOST at most.
 AVERAGE, LEAST, MOST = 11, 256, 16384
 #: Distinct pieces that a worker remembers; beyond that it forgets those met only once.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 RECIPES = "part int, pos long, id {id}, n_tokens long, crc long, root binary, digests array<binary>, sizes array<int>, local_start long"
 #: White space by its Unicode property, and the endings that are cut off after an apostrophe.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -209,9 +210,8 @@ def _encode(path: str, end_id: int):
     def run(batches):
         enc, gears, zip_ = encoder(path), _gears(), ZstdCompressor(3)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for low, high in groups_of([len(t) for t in texts]):
-                ids, offsets = enc.encode(texts[low:high])
+            for low, high in groups_of(pc.utf8_length(batch.column("text")).fill_null(0).to_pylist()):
+                ids, offsets = enc.encode([t or "" for t in batch.column("text").slice(low, high - low).to_pylist()])
                 ids, offsets = np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
                 allowed = rolling(ids, gears)
                 bounds = np.searchsorted(allowed, offsets, "right").tolist()

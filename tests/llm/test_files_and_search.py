@@ -83,8 +83,8 @@ def test_token_store(spark):
 
     path = tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    odd = ["a  b\n c\t d ", "don't  'll <|endoftext|> x", "　 a  b", " lead", "trail ", "\n", "   "]
+    odd = ["a  b\n c\t d ", "don't  'll <|endoftext|> x", "<|endoftext|>", "\u3000 a  b", " lead", "trail ", "\n", "   ", "\u1c89 no category in older tables"]
+    assert 50256 in t.encode(odd[1], add_special_tokens=False).ids
     rows = [*documents(), *[(200 + i, x, *[None] * 10) for i, x in enumerate(odd)]]
     got = token_store.round_trip(frame(spark, rows), path).collect()
     assert len(got) == len(rows)
