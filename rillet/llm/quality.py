@@ -30,6 +30,8 @@ PAIRS = 40_000
 CUT = 0.7
 RIDGE = 1e-3
 WORDS, RUNS = 128, 128
+#: Bytes of text that are looked at together, or one text.
+TOGETHER = 1 << 17
 #: Kinds of bytes: small letter, capital, digit, symbol, sign that ends a sentence, exclamation mark, other sign, space, new line, part of a longer character.
 SMALL, CAPITAL, DIGIT, SYMBOL, END, BANG, SIGN, SPACE, LINE, WIDE = range(10)
 NAMES = ("small", "capital", "digit", "symbol", "end", "bang", "sign", "line", "wide", "word length", "words", "again", "distinct")
@@ -56,8 +58,8 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of features for each text: those of NAMES, then the hashed words, then the hashed runs of bytes."""
     n = len(offsets) - 1
     size = np.diff(offsets)
-    text = np.repeat(np.arange(n), size)
-    counts = np.bincount(text * 10 + KINDS[data], minlength=10 * n).reshape(n, 10).astype(float)
+    text = np.repeat(np.arange(n, dtype=np.int32), size)
+    counts = np.bincount(text * np.int32(10) + KINDS[data], minlength=10 * n).reshape(n, 10).astype(float)
     hashes, first = W.word_hashes(data, offsets)
     of = np.repeat(np.arange(n), np.diff(first))
     words = np.maximum(np.diff(first), 1).astype(float)
@@ -75,15 +77,15 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(data) > 2:
         whole = np.flatnonzero(text[:-2] == text[2:])
         three = data[:-2].astype(np.uint32) | data[1:-1].astype(np.uint32) << np.uint32(8) | data[2:].astype(np.uint32) << np.uint32(16)
-        run = (three * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64) % RUNS
-        out[:, len(NAMES) + WORDS :] = np.bincount(text[whole] * RUNS + run[whole], minlength=n * RUNS).reshape(n, RUNS) / chars[:, None]
+        run = (three * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int32) % np.int32(RUNS)
+        out[:, len(NAMES) + WORDS :] = np.bincount(text[whole] * np.int32(RUNS) + run[whole], minlength=n * RUNS).reshape(n, RUNS) / chars[:, None]
     return out
 
 
 def _each(column: pa.Array):
     """Features of the texts of an Arrow column, some at a time."""
     data, offsets = W.text_buffers(column)
-    for a, b in W.slices(offsets):
+    for a, b in W.slices(offsets, TOGETHER):
         yield vectors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
