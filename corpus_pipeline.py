@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rillet.llm import exact_dedup, mixing, ngram_jaccard, piece_sampling, quality
-from rillet.llm.common import stage
+from rillet.llm.common import drop, stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, f in STAGES[:-1]:
         docs = stage(f(spark, docs, sf_dir), f"pipeline-{name}")
+        if held is not None:
+            drop(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
