@@ -65,7 +65,8 @@ def sh(*cells: tuple[Column, str]) -> Column:
 
 @builtin("@base64/0")
 def base64(s: Column) -> Column:
-    return F.base64(F.encode(s, "UTF-8"))
+    """In one line, also where Spark breaks it after 76 characters."""
+    return F.translate(F.base64(F.encode(s, "UTF-8")), "\r\n", "")
 
 
 @builtin("@base64d/0", since="1.6")

@@ -2,6 +2,7 @@
 
 import math
 import random
+from base64 import b64encode
 
 import pytest
 from pyspark.sql import Window
@@ -60,6 +61,14 @@ def test_value(value, column, want):
     assert got == want or isinstance(want, float) and math.isclose(got, want)
 
 
+@pytest.mark.parametrize("text", ["", "a" * 57, "a" * 58, "ä😄" * 40, "a\r\nb" * 30])
+def test_base64_is_one_line(value, text):
+    encoded = formats.base64(s(text))
+    assert value(encoded) == b64encode(text.encode()).decode()
+    assert value(formats.base64d(encoded)) == text
+    assert value(formats.base64(s(None))) is None
+
+
 @pytest.mark.parametrize("column", [lambda: numbers.divide(F.lit(0), F.lit(0)), lambda: numbers.modulo(F.lit(5), F.lit(0.5)), lambda: numbers.tonumber(F.lit("x")), lambda: D.error("no"), lambda: D.parse(F.lit("{")), lambda: formats.fromjson(F.lit("{"), "a int")])
 def test_errors(value, column):
     with pytest.raises(Exception):
