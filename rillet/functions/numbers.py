@@ -13,28 +13,38 @@ SMALLEST_NORMAL = 2.2250738585072014e-308
 LARGEST = 1.7976931348623157e308
 
 
-def _wrapped(exact: Column) -> Column:
-    """A whole decimal brought into 64 bits by wrapping round."""
-    half, whole = (F.lit(str(2**n)).cast("decimal(38,0)") for n in (63, 64))
-    return (F.pmod((exact + half).cast("decimal(38,0)"), whole) - half).cast("long")
+LOW = 0xFFFFFFFF
 
 
-def _whole(a: Column, b: Column, fast, exact) -> Column:
-    d = lambda x: x.cast("decimal(38,0)")
-    return F.coalesce(fast(a, b), _wrapped(exact(d(a), d(b)).cast("decimal(38,0)")))
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A whole number as its upper 32 bits, with the sign, and its lower 32 bits."""
+    n = x.cast("long")
+    return F.shiftright(n, 32), n.bitwiseAND(LOW)
+
+
+def _joined(high: Column, low: Column) -> Column:
+    """high * 2**32 + low, wrapping round; low, of any size, carries into high. No step overflows, so nothing is thrown and caught."""
+    return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(LOW))
 
 
 def add_long(a: Column, b: Column) -> Column:
     """Whole numbers wrap round; null is the identity."""
-    return F.coalesce(_whole(a, b, F.try_add, lambda x, y: x + y), a, b)
+    (a1, a0), (b1, b0) = _halves(a), _halves(b)
+    return F.coalesce(_joined(a1 + b1, a0 + b0), a.cast("long"), b.cast("long"))
 
 
 def subtract_long(a: Column, b: Column) -> Column:
-    return _whole(a, b, F.try_subtract, lambda x, y: x - y)
+    """Whole numbers wrap round."""
+    (a1, a0), (b1, b0) = _halves(a), _halves(b)
+    return _joined(a1 - b1, a0 - b0)
 
 
 def multiply_long(a: Column, b: Column) -> Column:
-    return _whole(a, b, F.try_multiply, lambda x, y: x * y)
+    """Whole numbers wrap round."""
+    (a1, a0), (b1, b0) = _halves(a), _halves(b)
+    upper = a0 * F.shiftright(b0, 16)  # the lower halves' product in two parts, 16 bits apart
+    low = a0 * b0.bitwiseAND(0xFFFF) + F.shiftleft(upper.bitwiseAND(0xFFFF), 16)
+    return _joined((a1 * b0).bitwiseAND(LOW) + (a0 * b1).bitwiseAND(LOW) + F.shiftright(upper, 16), low)
 
 
 def add(a: Column, b: Column) -> Column:

@@ -61,6 +61,22 @@ def test_value(value, column, want):
     assert got == want or isinstance(want, float) and math.isclose(got, want)
 
 
+def test_long_arithmetic_wraps(spark):
+    rng = random.Random(5)
+    edges = [0, 1, -1, 5, 2**16, 2**31 - 1, 2**31, -(2**31), 2**32 - 1, 2**32, -(2**32), 2**62, 2**63 - 1, -(2**63), -(2**63) + 1]
+    edges += [rng.randrange(-(2**63), 2**63) for _ in range(20)]
+    wrap = lambda n: (n + 2**63) % 2**64 - 2**63
+    rows = spark.createDataFrame([(a, b) for a in edges for b in edges], "a long, b long")
+    for r in rows.select("a", "b", numbers.add_long(F.col("a"), F.col("b")).alias("add"), numbers.subtract_long(F.col("a"), F.col("b")).alias("sub"), numbers.multiply_long(F.col("a"), F.col("b")).alias("mul")).collect():
+        assert (r["add"], r["sub"], r["mul"]) == (wrap(r["a"] + r["b"]), wrap(r["a"] - r["b"]), wrap(r["a"] * r["b"]))
+    void = spark.createDataFrame([(None, 3), (3, None), (None, None)], "a long, b long")
+    got = void.select(numbers.add_long(F.col("a"), F.col("b")), numbers.subtract_long(F.col("a"), F.col("b")), numbers.multiply_long(F.col("a"), F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [(3, None, None), (3, None, None), (None, None, None)]
+    for f in (numbers.add_long, numbers.subtract_long, numbers.multiply_long):  # a row that overflows costs no more than another
+        plan = rows.select(f(F.col("a"), F.col("b")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "try" not in plan and "decimal" not in plan
+
+
 @pytest.mark.parametrize("text", ["", "a" * 57, "a" * 58, "ä😄" * 40, "a\r\nb" * 30])
 def test_base64_is_one_line(value, text):
     encoded = formats.base64(s(text))
