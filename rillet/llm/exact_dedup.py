@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SPACE, partitions, stage
+from .words import giving_back
 
 #: Leading characters of the normalised text that the range partitioning looks at before the digest.
 LEAD = 24
@@ -37,6 +38,7 @@ def normalised(text: str):
 def _runs(every: bool):
     """Sorted rows -> the first of each run, or every row, with its run's first identifier and length, whether the run touches an edge, and then its text."""
 
+    @giving_back
     def run(batches):
         part = TaskContext.get().partitionId()
         held: list[pa.RecordBatch] = []  # the run that may go on in the next batch: its rows, or the first of them

@@ -36,6 +36,8 @@ THRESHOLD = (4, 5)
 ROWS, BANDS, HASHES, STEP = 4, 24, 128, 32
 TOLERANCE = 1e-6
 CHUNK = 256
+#: Bytes of text whose shingles are made together, or one text.
+TOGETHER = 1 << 18
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -74,11 +76,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _index(k: int):
+    @W.giving_back
     def run(batches):
         for batch in batches:
             data, offsets = W.text_buffers(batch.column("text"))
             n, k1, k2, sig = [], [], [], []
-            for a, b in W.slices(offsets):
+            for a, b in W.slices(offsets, TOGETHER):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 n += [len(s) for s in sets]
                 k1 += [int(W.mix(s).sum(dtype=np.uint64)) for s in sets]
@@ -99,13 +102,14 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
+@W.giving_back
 def _candidates(batches):
     """Pairs of chunks of a bucket -> for those with candidates the classes that take part and the pairs, as places among them."""
     least = least_matches(THRESHOLD[0] / THRESHOLD[1], TOLERANCE)
     for batch in batches:
         out = []
-        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "lo", "hi", "band", "chunks")]):
-            key, lo, hi, band, chunks = row
+        for at in range(batch.num_rows):  # one block at a time as Python objects
+            key, lo, hi, band, chunks = (batch.column(c)[at].as_py() for c in ("key", "lo", "hi", "band", "chunks"))
             chunks.sort(key=lambda c: c["chunk"])
             members = [sorted(c["members"], key=lambda m: m["node"]) for c in chunks]
             sigs = [np.frombuffer(b"".join(m["sig"] for m in ms), np.uint16).reshape(-1, HASHES) for ms in members]
@@ -118,9 +122,9 @@ def _candidates(batches):
                 a, b = sigs
                 i, j = (x.ravel() for x in np.mgrid[0 : len(a), 0 : len(b)])
             matches = np.zeros(len(i), np.int64)
-            for at in range(0, HASHES, STEP):
-                matches = matches + (a[i, at : at + STEP] == b[j, at : at + STEP]).sum(1)
-                good = matches >= least[at + STEP]
+            for v in range(0, HASHES, STEP):
+                matches = matches + (a[i, v : v + STEP] == b[j, v : v + STEP]).sum(1)
+                good = matches >= least[v + STEP]
                 i, j, matches = i[good], j[good], matches[good]
             if len(i):
                 bands = (a[i, : BANDS * ROWS] == b[j, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(2)
@@ -154,12 +158,14 @@ def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, width: i
     return total[i, j].astype(np.int64)
 
 
+@W.giving_back
 def _verify(batches):
     """Blocks with their shingle sets -> for each class with links in the block: copies linked and the least class it is connected with there."""
     num, den = THRESHOLD
     for batch in batches:
         nodes, links, roots = [], [], []
-        for parts in batch.column("parts").to_pylist():
+        for row in batch.column("parts"):  # one block at a time as Python objects
+            parts = row.as_py()
             parts.sort(key=lambda p: p["pos"])
             i, j = np.frombuffer(parts[0]["pairs"] or b"", np.uint16).reshape(2, -1).astype(np.int64)
             if not len(i) or [p["pos"] for p in parts] != list(range(max(i.max(), j.max()) + 1)) or any(p["set"] is None for p in parts):
@@ -191,10 +197,11 @@ def _verify(batches):
 
 
 def _sets(k: int):
+    @W.giving_back
     def run(batches):
         for batch in batches:
             data, offsets = W.text_buffers(batch.column("text"))
-            sets = [s.tobytes() for a, b in W.slices(offsets) for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)]
+            sets = [s.tobytes() for a, b in W.slices(offsets, TOGETHER) for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
     return run

@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Growing, Known, _sums, code_points, groups_of, mix, powers, spread
+from .words import Growing, Known, _sums, code_points, give_back, giving_back, groups_of, mix, powers, spread
 
 SPACE = "▁"
 BASE = 0xC2B2AE3D27D4EB4F
 BYTE_WEIGHT = -10.0
 #: Distinct units that a worker remembers; beyond that it forgets those met only once.
 REMEMBERED = 1 << 17
+#: Characters of text that are encoded together, or one text.
+TOGETHER = 1 << 16
 #: Smoothing: below 1, likely and unlikely segmentations come nearer.
 ALPHA = 0.2
 LITERAL = 0x110000  # stands for a space symbol that was in the text
@@ -249,11 +251,14 @@ def model(path: str, alpha: float = ALPHA) -> PieceModel:
 
 
 def _run(path: str, alpha: float, digest: bool):
+    @giving_back
     def run(batches):
         pieces = model(path, alpha)
         for batch in batches:
             seeds = batch.column("seed").to_numpy(zero_copy_only=False).view(np.uint64)
-            for low, high in groups_of(pc.utf8_length(batch.column("text")).fill_null(0).to_pylist()):
+            for k, (low, high) in enumerate(groups_of(pc.utf8_length(batch.column("text")).fill_null(0).to_pylist(), TOGETHER)):
+                if k % 16 == 15:
+                    give_back()
                 texts = [t or "" for t in batch.column("text").slice(low, high - low).to_pylist()]
                 row = batch.column("row").slice(low, high - low)
                 ids, offsets = pieces.sample(texts, seeds[low:high])

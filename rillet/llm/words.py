@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import os
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +17,27 @@ BYTES, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool keeps it, and so does malloc where it can be told not to."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:
+        trim(0)
+
+
+def giving_back(run):
+    """A function of batches after which its worker, which waits for other tasks, holds no memory that it has freed."""
+
+    @wraps(run)
+    def each(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return each
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Splitmix64's finaliser, on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillet.llm import common, components, exact_dedup, mixing, ngram_jaccard, quality, secrets, substring_dedup
+from rillet.llm import words as W
 
 from .data import SCHEMA, documents, frame
 
@@ -412,3 +414,21 @@ def test_lookup_with_a_hot_key(spark):
     facts = common.stage(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("lo")), "test")
     got = common.lookup(rows, facts, ["k"], "n", 3000)
     assert got.count() == 3000 and got.where("k = 7 and lo = 0 and n = 1501").count() == 1501  # the even rows and row 7
+
+
+def test_blocks_are_taken_one_at_a_time_and_workers_give_memory_back(monkeypatch):
+    """Memory of the links' check does not grow with the number of blocks in a batch; at its end freed memory goes back."""
+    given = []
+    monkeypatch.setattr(W, "give_back", lambda: given.append(1))
+    sets = [np.arange(i, 2000 + i, dtype=np.uint64).tobytes() for i in range(100)]
+    pairs = np.array([range(99), range(1, 100)], np.uint16).tobytes()
+    block = [{"pos": p, "node": p, "copies": 1, "pairs": pairs if p == 0 else None, "set": s} for p, s in enumerate(sets)]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("pairs", pa.binary()), ("set", pa.binary())]))
+    peaks = []
+    for n in (1, 20):
+        batch = pa.RecordBatch.from_arrays([pa.array([block] * n, kind)], ["parts"])
+        tracemalloc.start()
+        assert sum(b.num_rows for b in ngram_jaccard._verify([batch])) == 100 * n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0] and len(given) == 2
